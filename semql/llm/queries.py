@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semql.llm import line_dedup
+from semql.llm import line_dedup, sentencepiece_codec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_line_dedup": line_dedup.query,
+        "op6_sentencepiece": sentencepiece_codec.query,
     }
 
 

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semql.llm import line_dedup, sentencepiece_codec
+from semql.llm import line_dedup, sentencepiece_codec, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_line_dedup": line_dedup.query,
         "op6_sentencepiece": sentencepiece_codec.query,
+        "op10_token_store": token_store.query,
     }
 
 

@@ -24,8 +24,8 @@ class WordIds:
         """The ids of each text, given as a list of its words."""
         known = self.known
         new = list(set().union(*texts) - known.keys()) if texts else []
-        for word, ids in zip(new, self.encode(new), strict=True):
-            known[word] = np.asarray(ids, IDS).tobytes()
+        if new:
+            known.update(zip(new, (np.asarray(ids, IDS).tobytes() for ids in self.encode(new)), strict=True))
         found = [np.frombuffer(b"".join(map(known.__getitem__, words)), IDS) for words in texts]
         if len(known) > self.keep:
             for word in new:

@@ -37,26 +37,24 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, in the folder that the session names.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the checkpoint folder, which all executors share.
 
-    A folder is set only where none is, as in tests.
+    The folder is the one that the session names; one is set only where none is, as in tests.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/spark-checkpoints-{uuid.uuid4().hex}"
-        sc.setCheckpointDir(where)
-    return df.checkpoint()
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written table, below the checkpoint folder that all executors share."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/spark-checkpoints-{uuid.uuid4().hex}")
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: what made it isn't run again, and losing executors loses nothing."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of each slice take about ``max_bytes``; a longer text stands alone."""
     for batch in batches:

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semql.llm import line_dedup, sentencepiece_codec, token_store
+from semql.llm import line_dedup, sentencepiece_codec, simhash, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": simhash.query,
         "op5_line_dedup": line_dedup.query,
         "op6_sentencepiece": sentencepiece_codec.query,
         "op10_token_store": token_store.query,

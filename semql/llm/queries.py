@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semql.llm import line_dedup, sentencepiece_codec, simhash, token_store
+from semql.llm import decontaminate, line_dedup, sentencepiece_codec, simhash, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.query,
+        "op3_decontaminate": decontaminate.query,
         "op5_line_dedup": line_dedup.query,
         "op6_sentencepiece": sentencepiece_codec.query,
         "op10_token_store": token_store.query,
@@ -20,5 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_decontaminate": decontaminate.SQL,
         "op5_line_dedup": line_dedup.SQL,
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semql.llm import decontaminate, line_dedup, sentencepiece_codec, simhash, token_store
+from semql.llm import decontaminate, line_dedup, quality_rules, sentencepiece_codec, simhash, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": decontaminate.query,
         "op5_line_dedup": line_dedup.query,
         "op6_sentencepiece": sentencepiece_codec.query,
+        "op8_quality_rules": quality_rules.query,
         "op10_token_store": token_store.query,
     }
 
@@ -23,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontaminate": decontaminate.SQL,
         "op5_line_dedup": line_dedup.SQL,
+        "op8_quality_rules": quality_rules.SQL,
     }

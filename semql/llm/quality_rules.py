@@ -22,15 +22,15 @@ WINDOW, FENCE, MIN_GROUP, SCALE, GAMMA = 8, 4, 100, 10_000, 1.02
 #: What is sketched: numerator and denominator, and the share up to which every text passes.
 RULES = {
     "symbols": ("n_symbols", "n_words", 0.1),
-    "repeats": ("n_repeat_words", "n_words", 0.2),
+    "echoes": ("n_echoes", "n_words", 0.25),
     "dup_lines": ("n_dup_lines", "n_lines", 0.5),
     "upper": ("n_upper", "word_chars", 0.3),
     "word_length": ("word_chars", "n_words", 12.0),
 }
-_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_echoes")
 
 
-def _repeated(words: Column) -> Column:
+def _repeated(hashes: Column) -> Column:
     """Words inside windows that the text has twice or more."""
 
     def windows(hashes: Column) -> Column:
@@ -55,15 +55,20 @@ def _repeated(words: Column) -> Column:
         some = let(pairs, lambda s: let(places(s), covered))
         return F.when(F.size(F.array_distinct(found)) < F.size(found), some).otherwise(0)
 
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(F.size(words) > WINDOW, let(hashes, lambda h: let(windows(h), count))).otherwise(0)
+    return F.when(F.size(hashes) > WINDOW, let(windows(hashes), count)).otherwise(0)
+
+
+def _echoes(hashes: Column) -> Column:
+    """Words equal to the word before."""
+    return F.size(F.filter(hashes, lambda h, i: F.coalesce(F.get(hashes, i - 1) == h, F.lit(False))))
 
 
 def measures(text: Column) -> Column:
     """A struct of the counts of one text; null counts as empty."""
 
     def by_words(words: Column) -> Column:
-        return F.struct(F.size(words).alias("n"), F.char_length(F.array_join(words, "")).alias("chars"), _repeated(words).alias("repeats"))
+        chars, hashes = F.char_length(F.array_join(words, "")), F.transform(words, lambda w: F.xxhash64(w))
+        return let(hashes, lambda h: F.struct(F.size(h).alias("n"), chars.alias("chars"), _repeated(h).alias("repeats"), _echoes(h).alias("echoes")))
 
     def by_lines(lines: Column) -> Column:
         return F.struct(F.size(lines).alias("n"), (F.size(lines) - F.size(F.array_distinct(lines))).alias("dups"))
@@ -84,6 +89,7 @@ def measures(text: Column) -> Column:
                     w["repeats"].cast("long").alias("n_repeat_words"),
                     n["n"].cast("long").alias("n_lines"),
                     F.regexp_count(t, F.lit("\\p{Lu}")).cast("long").alias("n_upper"),
+                    w["echoes"].cast("long").alias("n_echoes"),
                 ),
             ),
         )
@@ -192,7 +198,8 @@ qr_lines AS (SELECT n, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n
              WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY n),
 qr_counts AS (SELECT q.n, doc_id, lang, source, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
                      length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
-                     coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, length(text) - length(regexp_replace(text, '\\p{{Lu}}', '', 'g')) AS n_upper
+                     coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, length(text) - length(regexp_replace(text, '\\p{{Lu}}', '', 'g')) AS n_upper,
+                     len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_echoes
               FROM qr_words q LEFT JOIN qr_repeats r ON r.n = q.n LEFT JOIN qr_lines l ON l.n = q.n),
 qr_shares AS ({_SHARES}),
 qr_sketch AS (SELECT lang, source, rule, CASE WHEN x = 0 THEN 0 ELSE 1 + CAST(floor(ln(CAST(x AS DOUBLE)) / CAST({math.log(GAMMA)!r} AS DOUBLE) + 1e-9) AS BIGINT) END AS bucket, count(*) AS n

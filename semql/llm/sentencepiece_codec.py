@@ -185,7 +185,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", result: str
     ``result="pieces"`` adds ``ids``, ``begins`` and ``ends`` (original byte offsets of every piece);
     ``result="digest"`` adds instead ``n_tokens``, ``ids_sha256`` (decimal ids joined by commas),
     ``decoded_sha256`` (of the decoded ids) and ``spans_crc32`` (of all begins, then all ends, as
-    little-endian 32-bit integers), made where the pieces are, so that they needn't travel.
+    little-endian 32-bit integers), made where the pieces are, so that they needn't travel;
+    ``result="ids"`` adds the digest and the ids.
 
     The model is read on the driver and sent to the workers (a file of a few MB). A null text is an
     empty one, with no pieces; texts of any length are encoded whole. Inputs named as an added column
@@ -194,7 +195,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", result: str
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
-    added = {"pieces": _PIECES, "digest": _DIGEST}[result]
+    added = {"pieces": _PIECES, "digest": _DIGEST, "ids": _DIGEST.append(_PIECES.field("ids"))}[result]
     kept = [c for c in docs.columns if c != text_col and c not in added.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +210,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", result: str
                 else:
                     numbers = ids.tolist()
                     spans = zlib.crc32(ends.astype("<i4"), zlib.crc32(begins.astype("<i4")))
-                    rows.append((len(ids), _sha(",".join(map(_DECIMAL.__getitem__, numbers))), _sha(codec.library.decode(numbers)), spans))
+                    digest = (len(ids), _sha(",".join(map(_DECIMAL.__getitem__, numbers))), _sha(codec.library.decode(numbers)), spans)
+                    rows.append((*digest, ids.astype(np.int32)) if result == "ids" else digest)
             new = batch_of(added, *zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *new.columns], names=[*kept, *added.names])
 

@@ -5,14 +5,14 @@ partitions. A chunk holds up to ``chunk_tokens`` ids of consecutive documents (o
 stands alone):
 
     part, seq   place of the chunk in the store: order by both
-    n_docs, n_tokens
+    n_docs, n_tokens, base (ids in the part before the chunk), width (bytes of an id)
     boundaries  Elias-Fano sequence of n_docs + 1 local offsets, the first 0
     doc_ids     flag byte (1: the first ``nulls`` documents have a null id), 8 bytes smallest id,
                 8 bytes ``nulls``, then the Elias-Fano sequence of the other ids less the smallest
     ids         little-endian unsigned 16-bit ids, or 32-bit where the vocabulary needs them
 
-Global starts aren't stored: they are the sums of the parts before, of the chunks before in the
-part, and of the local boundary. Parquet gives the format atomic commits, retries of lost tasks and
+Global starts aren't stored: they are the ids in all parts before, plus the chunk's base, plus the
+local boundary. Parquet gives the format atomic commits, retries of lost tasks and
 reads of the small columns alone.
 """
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semql.llm import elias_fano
@@ -41,18 +41,21 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: A word of these letters only is lower-cased and cut as the tokenizer's pattern does; it stays as it is under NFC.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+#: What is left of such a text after A-Z and the like are lower-cased stays as it is under NFC.
+_OTHER = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]").search
+#: Two signs side by side are one part for the tokenizer, so a text that has such isn't cut at signs.
+_TWO_SIGNS = re.compile(r"[!-/:-@\[-`{-~]{2}").search
+_LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 _GROUP = 256
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+").findall
 
 
 class Tokenizer:
     """Ids of whole texts as the tokenizers library gives them, without special tokens.
 
     A tokenizer that normalises white space to single spaces and drops it never joins what stands
-    on its two sides, so texts are cut at white space and every word is encoded once. Of words in
-    plain Latin letters the parts between letters and signs are encoded once as well.
+    on its two sides, so texts are cut at white space and every word is encoded once. Texts in plain
+    Latin letters are lower-cased first, and cut at points and commas too, where no signs stand together.
     """
 
     def __init__(self, spec: str):
@@ -68,9 +71,8 @@ class Tokenizer:
         suffix = parsed["model"].get("end_of_word_suffix") or ""
         self.ends = np.zeros(max(parsed["model"]["vocab"].values()) + 1, bool)
         self.ends[[i for t, i in parsed["model"]["vocab"].items() if suffix and t.endswith(suffix)]] = True
-        self.parts = WordIds(self._joined, keep=1_000_000)
-        self.odd = WordIds(self._library, keep=50_000)
-        self.words = WordIds(self._words, keep=200_000)
+        self.known = WordIds(self._words, keep=1_000_000)
+        self.odd = WordIds(self._library, keep=100_000)
 
     def _library(self, words: list[str]) -> Iterator[list[int]]:
         return (e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False))
@@ -87,22 +89,30 @@ class Tokenizer:
         return found
 
     def _words(self, words: list[str]) -> list[np.ndarray]:
-        plain = [bool(_PLAIN(w)) and not any(s in w for s in self.special) for w in words]
-        parts = iter(self.parts.of([_PARTS(w.lower()) for w, p in zip(words, plain, strict=True) if p]))
-        odd = iter(self.odd.of([[w] for w, p in zip(words, plain, strict=True) if not p]))
-        return [next(parts if p else odd) for p in plain]
+        """Ids of lower-case words in plain letters and signs."""
+        cut = [[w] if _LETTERS(w) else _PARTS(w) for w in words]
+        parts = list({p for c in cut for p in c})
+        ids = dict(zip(parts, self._joined(parts), strict=True))
+        return [ids[c[0]] if len(c) == 1 else np.concatenate([ids[p] for p in c]) for c in cut]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_words:
             return [np.asarray(ids, np.int64) for ids in self._library(texts)]
-        # str.split() also cuts at four control characters which the tokenizer keeps.
-        return self.words.of([_SPACES(t) if _CONTROL(t) else t.split() for t in texts])
+        plain = [(t.isascii() or not _OTHER(t)) and not _CONTROL(t) and not any(s in t for s in self.special) for t in texts]
+        known = iter(self.known.of([_cut(t.lower()) for t, p in zip(texts, plain, strict=True) if p]))
+        odd = iter(self.odd.of([_SPACES(t) for t, p in zip(texts, plain, strict=True) if not p]))
+        return [next(known if p else odd) for p in plain]
 
 
-_CONTROL = re.compile("[\x1c-\x1f]").search
+def _cut(text: str) -> list[str]:
+    return text.split() if _TWO_SIGNS(text) else text.replace(",", " , ").replace(".", " . ").split()
+
+
+#: Control characters, at some of which str.split() cuts but the tokenizer does not.
+_CONTROL = re.compile("[\0-\x08\x0e-\x1f\x7f]").search
 _SPACES = re.compile("[^ \t\n\r]+").findall
 
-_CHUNK = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("boundaries", pa.binary()), ("doc_ids", pa.binary()), ("ids", pa.binary())])
+_CHUNK = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("base", pa.int64()), ("width", pa.int32()), ("boundaries", pa.binary()), ("doc_ids", pa.binary()), ("ids", pa.binary())])
 _IDS = struct.Struct("<BqQ")
 
 
@@ -138,11 +148,11 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
         wide = tokenizer.library.get_vocab_size() > 1 << 16
         kind = np.dtype("<u4" if wide or (end_id or 0) >= 1 << 16 else "<u2")
         end = np.asarray([] if end_id is None else [end_id], kind)
-        part, seq, held, ids, n = TaskContext.get().partitionId(), 0, [], [], 0
+        part, seq, base, held, ids, n = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def chunk() -> pa.RecordBatch:
             ends = np.cumsum([0, *(len(x) for x in held)])
-            return batch_of(_CHUNK, [part], [seq], [len(held)], [n], [kind.itemsize], [elias_fano.encode(ends)], [pack_ids(ids)], [b"".join(x.tobytes() for x in held)])
+            return batch_of(_CHUNK, [part], [seq], [len(held)], [n], [base], [kind.itemsize], [elias_fano.encode(ends)], [pack_ids(ids)], [b"".join(x.tobytes() for x in held)])
 
         for batch in text_slices(batches, max_bytes=4 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -150,7 +160,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
                 tokens = np.concatenate([tokens.astype(kind), end])
                 if held and n + len(tokens) > chunk_tokens:
                     yield chunk()
-                    seq, held, ids, n = seq + 1, [], [], 0
+                    seq, base, held, ids, n = seq + 1, base + n, [], [], 0
                 held.append(tokens)
                 ids.append(doc)
                 n += len(tokens)
@@ -158,7 +168,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
             yield chunk()
 
     chunks = rows.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(
-        run, "part int, seq int, n_docs long, n_tokens long, width int, boundaries binary, doc_ids binary, ids binary"
+        run, "part int, seq int, n_docs long, n_tokens long, base long, width int, boundaries binary, doc_ids binary, ids binary"
     )
     chunks.write.parquet(path)
 
@@ -175,12 +185,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """
     chunks = spark.read.parquet(path)
     totals = sorted((r.part, r.n) for r in chunks.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
-    before = np.cumsum([0, *(n for _, n in totals)])
-    starts = spark.createDataFrame([(p, int(b)) for (p, _), b in zip(totals, before, strict=False)], "part int, part_start long")
-    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = chunks.select("part", "seq", "n_tokens").withColumn("base", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    offsets = offsets.join(starts, "part").select("part", "seq", (F.col("base") + F.col("part_start")).alias("base"))
-    placed = chunks.join(offsets, ["part", "seq"]).select("base", "width", "boundaries", "doc_ids", "ids")
+    before = dict(zip((p for p, _ in totals), np.cumsum([0, *(n for _, n in totals)]).tolist(), strict=False))
+    chunks = chunks.select("part", "base", "width", "boundaries", "doc_ids", "ids")
     schema = _DOCS.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else _DOCS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,10 +195,10 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 ends = elias_fano.Reader(row["boundaries"]).all().astype(np.int64)
                 ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
                 places = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-                columns = [unpack_ids(row["doc_ids"]), row["base"] + ends[:-1], np.diff(ends), [zlib.crc32(ids[a:b]) for a, b in places]]
+                columns = [unpack_ids(row["doc_ids"]), before[row["part"]] + row["base"] + ends[:-1], np.diff(ends), [zlib.crc32(ids[a:b]) for a, b in places]]
                 yield batch_of(schema, *columns, *[[ids[a:b].astype(np.int32) for a, b in places]] * with_ids)
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return chunks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

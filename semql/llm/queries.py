@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semql.llm import decontaminate, line_dedup, quality_rules, sentencepiece_codec, sharding, simhash, token_store
+from semql.llm import decontaminate, language_id, line_dedup, quality_rules, sentencepiece_codec, sharding, simhash, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.query,
+        "op2_language_id": language_id.query,
         "op3_decontaminate": decontaminate.query,
         "op4_sharding": sharding.query,
         "op5_line_dedup": line_dedup.query,

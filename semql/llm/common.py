@@ -78,3 +78,12 @@ def byte_texts(column: pa.Array) -> list[bytes]:
 def batch_of(schema: pa.Schema, *columns: Sequence) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
+
+_KEPT: list = []
+
+
+def kept_in_worker(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` returns, kept in a Python worker from one task to the next; only the latest key's is."""
+    if not _KEPT or _KEPT[0] != key:
+        _KEPT[:] = [key, make()]
+    return _KEPT[1]

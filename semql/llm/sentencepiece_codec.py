@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from semql.llm.common import batch_of, table, text_slices
+from semql.llm.common import batch_of, kept_in_worker, table, text_slices
 from semql.llm.tokens import WordIds
 
 MARK = "▁"  # stands for a space in pieces
@@ -195,11 +196,12 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", result: str
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
+    key = uuid.uuid4().hex
     added = {"pieces": _PIECES, "digest": _DIGEST, "ids": _DIGEST.append(_PIECES.field("ids"))}[result]
     kept = [c for c in docs.columns if c != text_col and c not in added.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model.value)
+        codec = kept_in_worker(key, lambda: Codec(model.value))
         for batch in text_slices(batches, "__text", 4 << 20):
             texts = [t or "" for t in batch.column("__text").to_pylist()]
             rows = []

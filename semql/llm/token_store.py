@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semql.llm import elias_fano
-from semql.llm.common import batch_of, shared_path, table, text_slices
+from semql.llm.common import batch_of, kept_in_worker, shared_path, table, text_slices
 from semql.llm.tokens import IDS, WordIds
 
 
@@ -141,10 +142,11 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    key = uuid.uuid4().hex
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(spec.value)
+        tokenizer = kept_in_worker(key, lambda: Tokenizer(spec.value))
         wide = tokenizer.library.get_vocab_size() > 1 << 16
         kind = np.dtype("<u4" if wide or (end_id or 0) >= 1 << 16 else "<u2")
         end = np.asarray([] if end_id is None else [end_id], kind)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semql.llm import decontaminate, language_id, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, sharding, simhash, token_store
+from semql.llm import decontaminate, language_id, license_scan, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, sharding, simhash, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sentencepiece": sentencepiece_codec.query,
         "op7_quality_classifier": quality_classifier.query,
         "op8_quality_rules": quality_rules.query,
+        "op9_license_scan": license_scan.query,
         "op10_token_store": token_store.query,
     }
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semql.llm.common import batch_of, byte_texts, table, text_slices
+from semql.llm.common import batch_of, byte_texts, set_aside, table, text_slices
 
 WINDOW = 10
 #: A word byte is a digit, a letter or part of a non-ASCII character; A-Z are lower-cased.
@@ -290,10 +290,11 @@ def contamination(
     return rows.mapInArrow(run, schema).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without those that hold any window of the benchmark."""
-    found = contamination(docs.withColumnRenamed("contaminated", "__own") if "contaminated" in docs.columns else docs, benchmark, keep_text=True, **options)
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without those that hold any window of the benchmark; all columns stay as they are."""
+    rows, restore = set_aside(docs, text_col)
+    found = contamination(rows, benchmark, keep_text=True, text_col=text_col, **options)
+    return restore(found.where(~F.col("contaminated")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

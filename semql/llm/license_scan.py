@@ -78,12 +78,12 @@ TEMPLATES = {
 NONE, UNKNOWN = "none", "unknown"
 #: Share of a template's words that must stand in a paragraph, in order.
 LIKE = 0.8
-#: With less than this share of every likely template, a paragraph isn't about a licence.
+#: With less than this share of every likely template, or no word about licences, a paragraph of no family is ordinary text.
 NEAR = 0.4
 #: Ordinary paragraphs that the model is trained on, at most, and the documents that they come from.
 MAX_PARAGRAPHS, MAX_DOCUMENTS = 3_000, 400
 _WORDS = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*|[^\W\d_]+").findall
-_ABOUT = "(?i)licen[cs]|copyright|warrant|public domain|creative commons|redistribut"
+_ABOUT = "(?i)licen[cs]|copyright|warrant|public domain|creative commons|redistribut|permission"
 
 
 def words_of(paragraph: str) -> list[str]:
@@ -177,7 +177,7 @@ def classify(model: Model, words: list[str]) -> tuple[str, float, float]:
     family = max(like, key=like.get)
     if like[family] == 1.0:
         return family, float(p[model.classes.index(family)]), 1.0
-    if like[family] < NEAR:
+    if like[family] < NEAR or not re.search(_ABOUT, " ".join(words)):
         return NONE, float(p[-1]), like[family]
     return UNKNOWN, float(1 - p[-1]), like[family]
 

@@ -41,6 +41,10 @@ def query_blocks(queries: DataFrame, id_col: str, vector_col: str, block: int =
     return blocks
 
 
+#: Batches are scored in single precision and what is picked again in double; sums of either differ by less.
+SLACK = np.float32(1e-4)
+
+
 def _pairs(rows: DataFrame, id_col: str, vector_col: str, blocks: list, dim: int, pick) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,10 +52,11 @@ def _pairs(rows: DataFrame, id_col: str, vector_col: str, blocks: list, dim: int
             ids = batch.column("id").to_numpy()[known]
             for b in blocks:
                 query_ids, query_rows = b.value
-                scores = values @ query_rows.T
-                row, query = pick(scores)
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[query]), pa.array(ids[row]), pa.array(scores[row, query].astype(np.float64))], names=["query_id", "id", "score"])
+                row, query = pick(values @ query_rows.T)
+                for i in range(0, len(row), 1 << 16):
+                    r, q = row[i : i + (1 << 16)], query[i : i + (1 << 16)]
+                    exact = np.einsum("ij,ij->i", values[r].astype(np.float64), query_rows[q].astype(np.float64))
+                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids[r]), pa.array(exact)], names=["query_id", "id", "score"])
 
     narrow = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
     return narrow.mapInArrow(run, "query_id long, id long, score double")
@@ -60,14 +65,14 @@ def _pairs(rows: DataFrame, id_col: str, vector_col: str, blocks: list, dim: int
 def similarity_join(rows: DataFrame, queries: DataFrame, threshold: float, id_col: str, vector_col: str, query_id: str, query_vector: str, dim: int, block: int = BLOCK) -> DataFrame:
     """``query_id, id, score`` of all pairs at ``threshold`` or above. Null vectors match nothing."""
     blocks = query_blocks(queries, query_id, query_vector, block)
-    return _pairs(rows, id_col, vector_col, blocks, dim, lambda s: np.nonzero(s >= np.float32(threshold)))
+    return _pairs(rows, id_col, vector_col, blocks, dim, lambda s: np.nonzero(s >= np.float32(threshold) - SLACK)).where(F.col("score") >= threshold)
 
 
 def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best ``k`` rows of each column, and any that tie with the last of them."""
+    """The best ``k`` rows of each column, and any that may tie with the last of them."""
     if len(scores) > k:
         least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
-        return np.nonzero(scores >= least)
+        return np.nonzero(scores >= least - SLACK)
     return tuple(x.reshape(-1) for x in np.indices(scores.shape))
 
 

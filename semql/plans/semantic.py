@@ -56,8 +56,15 @@ def text_of(spark: SparkSession, d: str, i: int = 1) -> str:
     return '"' + table(spark, d, "documents").where(F.col("doc_id") == i).first()["text"].replace('"', " ") + '"'
 
 
-SCORE = F.round("embedding_score", 6).alias("score")
-TEXT_SCORE = F.round("text_score", 4).alias("score")
+
+def score():
+    return F.round("embedding_score", 6).alias("score")
+
+
+def text_score():
+    return F.round("text_score", 4).alias("score")
+
+
 
 _S = "list_dot_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))"
 _SCORED = f"s AS (SELECT vec_id, label, {_S} AS score FROM embeddings)"
@@ -86,54 +93,54 @@ def scan_filter(spark, d):
 
 @query("match_exact", f"WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM s WHERE score >= 0.1")
 def match_exact(spark, d):
-    return vecs(spark, d).scan(Match("embedding", vec(spark, d), "exact")).select("vec_id", SCORE)
+    return vecs(spark, d).scan(Match("embedding", vec(spark, d), "exact")).select("vec_id", score())
 
 
 @query("match_topn_cap", f"WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM (SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 256) WHERE score >= -1.0")
 def match_topn_cap(spark, d):
-    return vecs(spark, d, -1.0).scan(Match("embedding", vec(spark, d))).select("vec_id", SCORE)
+    return vecs(spark, d, -1.0).scan(Match("embedding", vec(spark, d))).select("vec_id", score())
 
 
 @query("match_candidates", f"WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM (SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 20) WHERE score >= 0.1")
 def match_candidates(spark, d):
-    return vecs(spark, d).scan(Match("embedding", vec(spark, d), candidates=20)).select("vec_id", SCORE)
+    return vecs(spark, d).scan(Match("embedding", vec(spark, d), candidates=20)).select("vec_id", score())
 
 
 @query("match_default_threshold", f"WITH {_T} SELECT doc_id, round(score, 4) AS score FROM (SELECT * FROM t ORDER BY score DESC, doc_id LIMIT 256) WHERE score >= 0.5")
 def match_default_threshold(spark, d):
-    return docs(spark, d).scan(Match("text", text_of(spark, d))).select("doc_id", TEXT_SCORE)
+    return docs(spark, d).scan(Match("text", text_of(spark, d))).select("doc_id", text_score())
 
 
 @query("match_text_exact", f"WITH {_T} SELECT doc_id, round(score, 4) AS score FROM t WHERE score >= 0.5")
 def match_text_exact(spark, d):
-    return docs(spark, d).scan(Match("text", text_of(spark, d) + "/exact")).select("doc_id", TEXT_SCORE)
+    return docs(spark, d).scan(Match("text", text_of(spark, d) + "/exact")).select("doc_id", text_score())
 
 
 @query("prefilter_eq", f"WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM s WHERE label = 3 AND score >= -0.5")
 def prefilter_eq(spark, d):
-    return vecs(spark, d, -0.5).scan(Match("embedding", vec(spark, d)), where=F.col("label") == 3).select("vec_id", SCORE)
+    return vecs(spark, d, -0.5).scan(Match("embedding", vec(spark, d)), where=F.col("label") == 3).select("vec_id", score())
 
 
 @query("prefilter_range", f"WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM s WHERE vec_id >= 50 AND vec_id < 450 AND score >= -0.5")
 def prefilter_range(spark, d):
-    return vecs(spark, d, -0.5).scan(Match("embedding", vec(spark, d)), where=(F.col("vec_id") >= 50) & (F.col("vec_id") < 450)).select("vec_id", SCORE)
+    return vecs(spark, d, -0.5).scan(Match("embedding", vec(spark, d)), where=(F.col("vec_id") >= 50) & (F.col("vec_id") < 450)).select("vec_id", score())
 
 
 @query("prefilter_in", f"WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM s WHERE label IN (1, 4, 7) AND vec_id BETWEEN 5 AND 400 AND score >= 0.0")
 def prefilter_in(spark, d):
     where = F.col("label").isin(1, 4, 7) & F.col("vec_id").between(5, 400)
-    return vecs(spark, d, 0.0).scan(Match("embedding", vec(spark, d)), where=where).select("vec_id", SCORE)
+    return vecs(spark, d, 0.0).scan(Match("embedding", vec(spark, d)), where=where).select("vec_id", score())
 
 
 @query("prefilter_like", f"WITH {_T} SELECT doc_id, round(score, 4) AS score FROM t JOIN documents USING (doc_id) WHERE source ILIKE 'src1%' AND score >= 0.3")
 def prefilter_like(spark, d):
-    return docs(spark, d, 0.3).scan(Match("text", text_of(spark, d)), where=like(F.col("source"), "SRC1%")).select("doc_id", TEXT_SCORE)
+    return docs(spark, d, 0.3).scan(Match("text", text_of(spark, d)), where=like(F.col("source"), "SRC1%")).select("doc_id", text_score())
 
 
 @query("recall_cliff_residual", f"WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM (SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 256) WHERE score >= -1.0 AND label = 3")
 def recall_cliff_residual(spark, d):
     found = vecs(spark, d, -1.0).scan(Match("embedding", vec(spark, d)))
-    return found.where(F.col("label") == 3).select("vec_id", SCORE)
+    return found.where(F.col("label") == 3).select("vec_id", score())
 
 
 _BOTH = f"{_SCORED}, {_T}, j AS (SELECT d.doc_id, s.score AS v, coalesce(t.score, 0) AS w FROM s JOIN documents d ON d.doc_id = s.vec_id LEFT JOIN t ON t.doc_id = d.doc_id)"
@@ -164,17 +171,17 @@ def multi_match_or(spark, d):
 )
 def or_branch_union(spark, d):
     near = Branch((Match("embedding", vec(spark, d)),), F.col("label") == 2)
-    return vecs(spark, d, 0.0).any_of(near, Branch((), F.col("vec_id") < 40)).select("vec_id", SCORE)
+    return vecs(spark, d, 0.0).any_of(near, Branch((), F.col("vec_id") < 40)).select("vec_id", score())
 
 
 @query("score_null_no_match", "SELECT vec_id, CAST(NULL AS DOUBLE) AS score FROM embeddings WHERE label = 5")
 def score_null_no_match(spark, d):
-    return vecs(spark, d).scan(where=F.col("label") == 5).select("vec_id", SCORE)
+    return vecs(spark, d).scan(where=F.col("label") == 5).select("vec_id", score())
 
 
 @query("score_threshold_residual", f"WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM (SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 256) WHERE score > 0.15")
 def score_threshold_residual(spark, d):
-    return vecs(spark, d).scan(Match("embedding", vec(spark, d))).where(F.col("embedding_score") > 0.15).select("vec_id", SCORE)
+    return vecs(spark, d).scan(Match("embedding", vec(spark, d))).where(F.col("embedding_score") > 0.15).select("vec_id", score())
 
 
 @query("score_agg", f"WITH {_SCORED} SELECT count(*) AS n, round(avg(score), 6) AS mean_score, round(max(score), 6) AS top_score FROM s WHERE score >= 0.05")
@@ -210,7 +217,7 @@ def default_order(spark, d):
 @query("topk", f"WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM s WHERE label <> 3 AND score >= -1.0 ORDER BY score DESC, vec_id LIMIT 10")
 def topk(spark, d):
     found = vecs(spark, d, -1.0).scan(Match("embedding", vec(spark, d)), where=F.col("label") != 3)
-    return found.orderBy(F.desc("embedding_score"), "vec_id").limit(10).select("vec_id", SCORE)
+    return found.orderBy(F.desc("embedding_score"), "vec_id").limit(10).select("vec_id", score())
 
 
 @query("page_offset", "SELECT vec_id AS rowid, label FROM embeddings ORDER BY vec_id LIMIT 25 OFFSET 50")
@@ -225,7 +232,7 @@ def page_offset(spark, d):
 )
 def hybrid_join(spark, d):
     found = docs(spark, d).scan(Match("text", text_of(spark, d)), where=F.col("lang") == "en")
-    return found.join(table(spark, d, "labels"), "doc_id").select("doc_id", "quality", TEXT_SCORE)
+    return found.join(table(spark, d, "labels"), "doc_id").select("doc_id", "quality", text_score())
 
 
 @query(

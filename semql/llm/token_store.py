@@ -45,7 +45,8 @@ def default_tokenizer() -> str:
 #: What is left of such a text after A-Z and the like are lower-cased stays as it is under NFC.
 _OTHER = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]").search
 #: Two signs side by side are one part for the tokenizer, so a text that has such isn't cut at signs.
-_TWO_SIGNS = re.compile(r"[!-/:-@\[-`{-~]{2}").search
+#: Neither is one with control characters, at some of which str.split() cuts but the tokenizer does not.
+_MARKS = bytes(33 if 33 <= b <= 126 and not chr(b).isalnum() else 1 if b in (*range(9), *range(14, 32), 127) else 32 for b in range(256))
 _LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 _GROUP = 256
@@ -78,39 +79,41 @@ class Tokenizer:
     def _library(self, words: list[str]) -> Iterator[list[int]]:
         return (e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False))
 
-    def _joined(self, parts: list[str]) -> list[np.ndarray]:
+    def _joined(self, parts: list[str]) -> list[bytes]:
         """Ids of parts that end in a piece with the word-end mark: many go as one text, which is cut there."""
         groups = [parts[i : i + _GROUP] for i in range(0, len(parts), _GROUP)]
-        found = []
+        found: list[bytes] = []
         for group, ids in zip(groups, self._library([" ".join(g) for g in groups]), strict=True):
             ids = np.asarray(ids, IDS)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            whole = len(cuts) == len(group) and cuts[-1] == len(ids)
-            found += np.split(ids, cuts[:-1]) if whole else self._library(group)
+            if len(cuts) == len(group) and cuts[-1] == len(ids):
+                data, bounds = ids.tobytes(), (IDS.itemsize * cuts).tolist()
+                found += [data[a:b] for a, b in zip([0, *bounds], bounds)]
+            else:
+                found += [np.asarray(x, IDS).tobytes() for x in self._library(group)]
         return found
 
-    def _words(self, words: list[str]) -> list[np.ndarray]:
+    def _words(self, words: list[str]) -> list[bytes]:
         """Ids of lower-case words in plain letters and signs."""
-        cut = [[w] if _LETTERS(w) else _PARTS(w) for w in words]
-        parts = list({p for c in cut for p in c})
+        cut = {w: _PARTS(w) for w in words if not _LETTERS(w)}
+        parts = list(dict.fromkeys([*(w for w in words if w not in cut), *(p for c in cut.values() for p in c)]))
         ids = dict(zip(parts, self._joined(parts), strict=True))
-        return [ids[c[0]] if len(c) == 1 else np.concatenate([ids[p] for p in c]) for c in cut]
+        return [b"".join(map(ids.__getitem__, cut[w])) if w in cut else ids[w] for w in words]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_words:
             return [np.asarray(ids, np.int64) for ids in self._library(texts)]
-        plain = [(t.isascii() or not _OTHER(t)) and not _CONTROL(t) and not any(s in t for s in self.special) for t in texts]
-        known = iter(self.known.of([_cut(t.lower()) for t, p in zip(texts, plain, strict=True) if p]))
+        marks = [t.encode().translate(_MARKS) for t in texts]
+        plain = [b"\1" not in m and (t.isascii() or not _OTHER(t)) and not any(s in t for s in self.special) for t, m in zip(texts, marks, strict=True)]
+        known = iter(self.known.of([_cut(t.lower(), b"!!" in m) for t, m, p in zip(texts, marks, plain, strict=True) if p]))
         odd = iter(self.odd.of([_SPACES(t) for t, p in zip(texts, plain, strict=True) if not p]))
         return [next(known if p else odd) for p in plain]
 
 
-def _cut(text: str) -> list[str]:
-    return text.split() if _TWO_SIGNS(text) else text.replace(",", " , ").replace(".", " . ").split()
+def _cut(text: str, together: bool) -> list[str]:
+    return text.split() if together else text.replace(",", " , ").replace(".", " . ").split()
 
 
-#: Control characters, at some of which str.split() cuts but the tokenizer does not.
-_CONTROL = re.compile("[\0-\x08\x0e-\x1f\x7f]").search
 _SPACES = re.compile("[^ \t\n\r]+").findall
 
 _CHUNK = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("base", pa.int64()), ("width", pa.int32()), ("boundaries", pa.binary()), ("doc_ids", pa.binary()), ("ids", pa.binary())])

@@ -12,22 +12,24 @@ IDS = np.dtype("<u2")
 class WordIds:
     """Ids of words as little-endian 16-bit integers.
 
-    ``encode`` takes a list of distinct words and gives the ids of each. Up to ``keep`` words stay for
+    ``encode`` takes a list of distinct words and gives the ids of each, as a sequence or as such bytes. Up to ``keep`` words stay for
     later batches; the rest are encoded again when they come back, so memory is bounded and no result
     depends on what is kept.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[Sequence[int]]], keep: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable[Sequence[int] | bytes]], keep: int = 400_000):
         self.encode, self.keep, self.known = encode, keep, {}
 
     def of(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The ids of each text, given as a list of its words."""
-        known = self.known
-        new = list(set().union(*texts) - known.keys()) if texts else []
+        rows = [list(map(self.known.get, words)) for words in texts]
+        # One lookup a word; texts with a word that isn't known (or has no ids) are gone through once more.
+        partly = [i for i, row in enumerate(rows) if not all(row)]
+        new = dict.fromkeys(w for i in partly for w, ids in zip(texts[i], rows[i], strict=True) if ids is None)
         if new:
-            known.update(zip(new, (np.asarray(ids, IDS).tobytes() for ids in self.encode(new)), strict=True))
-        found = [np.frombuffer(b"".join(map(known.__getitem__, words)), IDS) for words in texts]
-        if len(known) > self.keep:
-            for word in new:
-                del known[word]
-        return found
+            new = dict(zip(new, (ids if isinstance(ids, bytes) else np.asarray(ids, IDS).tobytes() for ids in self.encode(list(new))), strict=True))
+            for i in partly:
+                rows[i] = [new[w] if ids is None else ids for w, ids in zip(texts[i], rows[i], strict=True)]
+            if len(self.known) < self.keep:
+                self.known.update(new)
+        return [np.frombuffer(b"".join(row), IDS) for row in rows]

@@ -132,6 +132,23 @@ class OnnxEmbedder:
         return found
 
 
+def resolve_embedder(spec: Embedder | str | dict | None) -> Embedder:
+    """An embedder from itself, a name, or files: ``{"model": path, "tokenizer": path, "id": name, "dim": n}``.
+
+    A known name alone doesn't do, as nothing is fetched: its files must be given.
+    """
+    if spec is None:
+        return NullEmbedder()
+    if isinstance(spec, dict):
+        return OnnxEmbedder(spec.get("id", spec["model"]), spec["model"], spec["tokenizer"], spec.get("dim", 0), spec.get("max_tokens", 0))
+    if isinstance(spec, str):
+        found = re.fullmatch(r"hashing-(\d+)", spec)
+        if not found:
+            raise ValueError(f"semql: model '{spec}' needs its files" if spec in REGISTRY else f"semql: unknown model '{spec}'")
+        return HashingEmbedder(int(found[1]), spec)
+    return spec
+
+
 def pooled(out: np.ndarray, dim: int) -> np.ndarray:
     """One vector from a model's output: the mean over tokens of [1, tokens, dim]; [1, dim] and [dim] as they are."""
     if out.ndim == 3 and out.shape[0] == 1 and out.shape[2] == dim:

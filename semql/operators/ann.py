@@ -44,6 +44,10 @@ class CellIndex:
 
         return cells(vector)
 
+    def nearest_cells(self, vector) -> np.ndarray:
+        """The cells that one query looks at."""
+        return np.argsort(-(self.centroids @ np.asarray(vector, np.float32)), kind="stable")[: self.probes]
+
     def assign(self, rows: DataFrame, vector_col: str) -> DataFrame:
         return rows.withColumn("cell", self.cells_of(F.col(vector_col), 1)[0])
 

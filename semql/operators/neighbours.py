@@ -62,10 +62,19 @@ def _pairs(rows: DataFrame, id_col: str, vector_col: str, blocks: list, dim: int
     return narrow.mapInArrow(run, "query_id long, id long, score double")
 
 
-def similarity_join(rows: DataFrame, queries: DataFrame, threshold: float, id_col: str, vector_col: str, query_id: str, query_vector: str, dim: int, block: int = BLOCK) -> DataFrame:
-    """``query_id, id, score`` of all pairs at ``threshold`` or above. Null vectors match nothing."""
+def similarity_join(rows: DataFrame, queries: DataFrame, threshold: float, id_col: str, vector_col: str, query_id: str, query_vector: str, dim: int, block: int = BLOCK, cap: int | None = None) -> DataFrame:
+    """``query_id, id, score`` of all pairs at ``threshold`` or above; with ``cap``, of the best so many of each query.
+
+    Null vectors match nothing.
+    """
     blocks = query_blocks(queries, query_id, query_vector, block)
-    return _pairs(rows, id_col, vector_col, blocks, dim, lambda s: np.nonzero(s >= np.float32(threshold) - SLACK)).where(F.col("score") >= threshold)
+    low = np.float32(threshold) - SLACK
+    pick = (lambda s: _top(np.where(s >= low, s, -np.inf), cap)) if cap else lambda s: np.nonzero(s >= low)
+    found = _pairs(rows, id_col, vector_col, blocks, dim, pick).where(F.col("score") >= threshold)
+    if cap is None:
+        return found
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("__rank", rank).where(F.col("__rank") <= cap).drop("__rank")
 
 
 def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -77,8 +77,11 @@ class VectorTable:
             return embed_one(parsed.query, self.embedder, self.metrics), parsed
         return [float(x) for x in match.query], MatchQuery("", match.mode, match.candidates)
 
-    def scan(self, *matches: Match, where: Column | None = None) -> DataFrame:
-        """All columns and a score for each vector column, null where there is no MATCH on it."""
+    def scan(self, *matches: Match, where: Column | None = None, observation: Observation | None = None) -> DataFrame:
+        """All columns and a score for each vector column, null where there is no MATCH on it.
+
+        An ``observation`` gets ``candidates`` (rows scored, or left by the cap) and ``rows_matched`` once the result has run.
+        """
         began = time.perf_counter()
         rows = self.df if where is None else self.df.where(where)
         scored: dict[str, Column] = {}
@@ -94,6 +97,9 @@ class VectorTable:
             # TakeOrderedAndProject: each task keeps its best rows.
             best = rows.where(F.col(f"`{names[0]}`").isNotNull())
             rows = best.orderBy(F.desc(names[0]), self.rowid).limit(parsed.candidates or self.cap)
+        if names and observation is not None:
+            passed = reduce(lambda a, b: a & b, (F.col(f"`{n}`") >= self.threshold for n in names))
+            rows = rows.observe(observation, F.count(f"`{names[0]}`").alias("candidates"), F.count(F.when(passed, 1)).alias("rows_matched"))
         for name in names:
             rows = rows.where(F.col(f"`{name}`") >= self.threshold)
         if matches:

@@ -21,8 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semql.functions.embedders import Embedder, NullEmbedder, embed_column
+from semql.functions.embedders import Embedder, NullEmbedder, embed_column, embed_one
+from semql.functions.vectors import dot, literal
 from semql.metrics import Metrics
+from semql.operators.ann import CellIndex, fit
 from semql.operators.scan import CAP, ROWID, THRESHOLD, VectorTable
 
 
@@ -84,6 +86,7 @@ class Database:
         self.spark, self.root, self.embedder = spark, root.rstrip("/"), embedder or NullEmbedder()
         self.threshold, self.cap, self.metrics = threshold, cap, Metrics()
         self._stack: list[tuple[str | None, dict[str, Manifest]]] = []
+        self._index: tuple | None = None
 
     # Small files, by Hadoop's file system of the root.
     def _fs(self, path: str):
@@ -230,6 +233,33 @@ class Database:
         names = {v: f"_emb_{v}" for v in manifest.vectors()}
         return VectorTable(self.rows(name), names, self.embedder, ROWID, self.threshold, self.cap, self.metrics)
 
+    def search_index(self, name: str, column: str, **options) -> tuple[CellIndex, DataFrame]:
+        """The approximate index of a column, and the rows by cell, pruned by it; built at the first search after a change."""
+        manifest = self._manifest(name)
+        key = (name, column, *manifest.segments)
+        if self._index is None or self._index[0] != key:
+            began = time.perf_counter()
+            rows = self.rows(name).where(F.col(f"_emb_{column}").isNotNull())
+            index = fit(rows, f"_emb_{column}", ROWID, **options)
+            path = f"{self.root}/{name}/_index/{uuid.uuid4().hex}"
+            index.assign(rows.select(ROWID, f"_emb_{column}"), f"_emb_{column}").write.partitionBy("cell").parquet(path)
+            self._index = (key, index, path)
+            self.metrics.index_rebuilds += 1
+            self.metrics.index_rebuild_ms += (time.perf_counter() - began) * 1000
+        _, index, path = self._index
+        schema = T.StructType([T.StructField(ROWID, T.LongType()), T.StructField(f"_emb_{column}", T.ArrayType(T.FloatType())), T.StructField("cell", T.IntegerType())])
+        return index, self.spark.read.schema(schema).parquet(path)
+
+    def approximate(self, name: str, column: str, text: str, k: int = CAP) -> DataFrame:
+        """``_rowid`` and ``score`` of the best ``k`` rows in the cells near the query, at the threshold or above."""
+        vector = embed_one(text, self.embedder, self.metrics)
+        if vector is None:
+            return self.spark.createDataFrame([], "_rowid long, score double")
+        index, rows = self.search_index(name, column)
+        cells = [int(c) for c in index.nearest_cells(vector)]
+        scored = rows.where(F.col("cell").isin(cells)).select(ROWID, dot(F.col(f"_emb_{column}"), literal(vector)).alias("score"))
+        return scored.orderBy(F.desc("score"), ROWID).limit(k).where(F.col("score") >= self.threshold)
+
     # Writing.
     def _segment(self, name: str, rows: DataFrame) -> str:
         began = time.perf_counter()
@@ -279,34 +309,59 @@ class Database:
         segments = list(manifest.segments)
         new = self.spark.read.schema(manifest.schema()).parquet(segment)
         if supplied and segments:
-            kept = self.rows(name).join(new.select(ROWID), ROWID, "left_anti").select(*manifest.schema().names)
-            segments = [self._segment(name, kept)]
+            own = new.select(F.col(ROWID).alias("__new"))
+            if not self.rows(name).join(own, F.col(ROWID) == F.col("__new"), "left_semi").isEmpty():
+                kept = self.rows(name).join(own, F.col(ROWID) == F.col("__new"), "left_anti").select(*manifest.schema().names)
+                segments = [self._segment(name, kept)]
         self._save(name, Manifest(manifest.columns, manifest.model_id, manifest.dim, at, [*segments, segment]))
         return new.count()
 
+    def _touched(self, name: str, where: Column | None) -> tuple[list[str], list[str]]:
+        """Segments with a row for which the condition is true, and the others, which stay as they are."""
+        segments = self._manifest(name).segments
+        if where is None or len(segments) < 2:
+            return segments, []
+        of = F.regexp_extract(F.input_file_name(), r"/([0-9a-f]{32})/[^/]*$", 1)
+        hit = {r[0] for r in self.rows(name).where(where).select(of).distinct().collect()}  # at most one row a segment
+        touched = [s for s in segments if s.rpartition("/")[2] in hit]
+        return touched, [s for s in segments if s not in touched]
+
+    def _of(self, manifest: Manifest, segments: list[str]) -> DataFrame:
+        return self.spark.read.schema(manifest.schema()).parquet(*segments)
+
     def update(self, name: str, changes: dict[str, Column | object], where: Column | None = None) -> None:
-        """Set columns where the condition holds, and embed the changed texts again; ``_rowid`` may be set too."""
-        manifest, rows = self._manifest(name), self.rows(name)
+        """Set columns where the condition holds, and embed the changed texts again; ``_rowid`` may be set too.
+
+        Only segments with such rows are written anew.
+        """
+        manifest = self._manifest(name)
         hit = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
         kinds = {f.name: f.dataType for f in manifest.schema()}
         unknown = set(changes) - set(kinds)
         if unknown:
             raise StoreError(f"no such column: {sorted(unknown)[0]}")
         value = lambda c: changes[c] if isinstance(changes[c], Column) else F.lit(changes[c])
-        marked = rows.withColumn("__hit", hit)
+        touched, kept = self._touched(name, where)
+        if not touched:
+            return
+        marked = self._of(manifest, touched).withColumn("__hit", hit)
         new = marked.select("__hit", *[(F.when(F.col("__hit"), value(c)).otherwise(F.col(f"`{c}`")) if c in changes else F.col(f"`{c}`")).cast(kinds[c]).alias(c) for c in kinds])
         for v in manifest.vectors():
             fresh = embed_column(F.col(f"`{v}`"), self.embedder) if self.embedder.dim else F.lit(None).cast("array<float>")
             if v in changes or not self.embedder.dim:
                 new = new.withColumn(f"_emb_{v}", F.when(F.col("__hit"), fresh).otherwise(F.col(f"`_emb_{v}`")))
         segment = self._segment(name, new.drop("__hit"))
-        self._save(name, Manifest(manifest.columns, manifest.model_id, manifest.dim, manifest.next_rowid, [segment]))
+        self._save(name, Manifest(manifest.columns, manifest.model_id, manifest.dim, manifest.next_rowid, [*kept, segment]))
 
     def delete(self, name: str, where: Column | None = None) -> None:
-        """Remove the rows for which the condition is true."""
+        """Remove the rows for which the condition is true; only segments with such rows are written anew."""
         manifest = self._manifest(name)
-        kept = self.rows(name).where(~F.coalesce(where, F.lit(False))) if where is not None else None
-        segments = [] if kept is None else [self._segment(name, kept)]
+        segments: list[str] = []
+        if where is not None:
+            touched, segments = self._touched(name, where)
+            if not touched:
+                return
+            segments = [*segments, self._segment(name, self._of(manifest, touched).where(~F.coalesce(where, F.lit(False))))]
         self._save(name, Manifest(manifest.columns, manifest.model_id, manifest.dim, manifest.next_rowid, segments))
 
     def reindex(self, name: str) -> None:

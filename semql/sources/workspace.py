@@ -81,6 +81,21 @@ class Workspace:
             table = self._open().table(t)
             table.star(table.df).createOrReplaceTempView(t)
             table.df.createOrReplaceTempView(f"{t}_data")
+        for name in self.views():
+            self.spark.sql(self._open()._read(f"{self._open().root}/_views/{name}.sql")).createOrReplaceTempView(name)
+
+    def views(self) -> list[str]:
+        db = self._open()
+        return [f.removesuffix(".sql") for f in db._list(f"{db.root}/_views") if f.endswith(".sql")]
+
+    def create_view(self, name: str, sql: str) -> None:
+        """A stored SELECT over the tables, planned anew whenever it is used. One view may not use another."""
+        db = self._open()
+        if name in (*self.views(), *db.tables()):
+            raise StoreError(f"{name} exists")
+        self.register_views()
+        self.spark.sql(sql).schema  # fails now rather than later
+        db._write(f"{db.root}/_views/{name}.sql", sql)
 
     def query(self, sql: str, args: list | dict | None = None) -> QueryResult:
         """Spark SQL over the tables; ``args`` fill ``?`` or ``:name``. Searches go through ``search``."""

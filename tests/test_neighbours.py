@@ -25,6 +25,10 @@ def test_nearest_and_join_are_exact(spark, block):
     for k, q in enumerate(range(0, 400, 20)):
         assert [i for _, i in sorted(got[q])] == np.argsort(-scores[k], kind="stable")[:5].tolist()
     pairs = {(r.query_id, r.id) for r in neighbours.similarity_join(rows, asked, 0.4, "id", "v", "id", "v", 16, block).collect()}
+    capped = neighbours.similarity_join(rows, asked, 0.4, "id", "v", "id", "v", 16, block, cap=2).collect()
+    for k in range(20):
+        want = [i for i in np.argsort(-scores[k], kind="stable")[:2].tolist() if scores[k, i] >= np.float32(0.4)]
+        assert sorted(r.id for r in capped if r.query_id == 20 * k) == sorted(want)
     assert pairs == {(20 * k, i) for k, i in zip(*np.nonzero(scores >= np.float32(0.4)), strict=True)}
 
 

@@ -158,3 +158,53 @@ def test_metrics(db):
     assert set(json.loads(db.metrics.as_json())) >= {"embed_ms", "persist_ms", "search_ms", "candidates", "rows_matched"}
     db.metrics.reset_log()
     assert json.loads(db.metrics.log_json()) == []
+
+
+def test_only_touched_segments_are_rewritten(db):
+    db.insert("t", [{"name": "c"}])
+    first, second = db._manifest("t").segments
+    db.delete("t", F.col("name") == "c")
+    assert db._manifest("t").segments[0] == first and len(db._manifest("t").segments) == 2
+    kept = db._manifest("t").segments
+    db.update("t", {"n": 5}, F.col("name") == "nobody")
+    db.delete("t", F.col("name") == "nobody")
+    assert db._manifest("t").segments == kept and second not in kept and names(db.rows("t")) == ["a", "b"]
+
+
+def test_search_index_follows_changes(spark, db):
+    db.insert("t", spark.range(200).select(F.concat(F.lit("thing number"), "id").alias("notes"), F.col("id").cast("string").alias("name")))
+    best = db.approximate("t", "notes", "thing number7", 3).collect()
+    assert best[0].score == pytest.approx(1.0, abs=1e-6) and db.metrics.index_rebuilds == 1
+    assert db.approximate("t", "notes", "red apple").first()._rowid == 1 and db.metrics.index_rebuilds == 1
+    db.delete("t", F.col("name") == "a")
+    assert db.approximate("t", "notes", "red apple").count() == 0 and db.metrics.index_rebuilds == 2
+    assert db.approximate("t", "notes", " ").count() == 0
+
+
+def test_observed_counts(db):
+    from pyspark.sql import Observation
+
+    seen = Observation("scan")
+    assert db.table("t").scan(Match("notes", "red apple"), observation=seen).count() == 1
+    assert seen.get == {"candidates": 2, "rows_matched": 1}
+
+
+def test_views(spark, tmp_path):
+    w = Workspace(spark, f"file://{tmp_path}/ws2", HashingEmbedder())
+    w.open_database("x").create_table("tv", "a TEXT", "n INTEGER")
+    w.insert_row("tv", {"a": "one", "n": 1})
+    w.create_view("totals", "SELECT a, sum(n) AS total FROM tv GROUP BY a")
+    w.insert_row("tv", {"a": "one", "n": 2})
+    assert w.query("SELECT * FROM totals").rows() == [("one", 3)] and w.views() == ["totals"]
+    with pytest.raises(StoreError):
+        w.create_view("totals", "SELECT 1")
+
+
+def test_embedder_specs():
+    from semql.functions.embedders import NullEmbedder, resolve_embedder
+
+    assert resolve_embedder(None) == NullEmbedder() and resolve_embedder("hashing-32").dim == 32
+    assert resolve_embedder({"id": "gte-small", "model": "m", "tokenizer": "t"}).dim == 384
+    for bad in ("gte-small", "nothing"):
+        with pytest.raises(ValueError):
+            resolve_embedder(bad)

@@ -7,11 +7,11 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semql import __version__
-from semql.functions.embedders import Embedder
+from semql.functions.embedders import Embedder, embed_one
 from semql.operators.matchdsl import APPROXIMATE, EXACT
 from semql.operators.scan import ROWID, Match
 from semql.sources.store import Database, StoreError
@@ -36,13 +36,16 @@ class QueryResult:
 
 
 def register_functions(spark: SparkSession, embedder: Embedder) -> None:
-    """``semql_version()``, ``semql_model()`` and ``semql_dim()`` for SQL; null where there is no model."""
+    """``semql_version()``, ``semql_model()`` and ``semql_dim()`` for SQL, null where there is no model, and ``semql_dot(a, b)``."""
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     model = f"cast({quote(embedder.model_id)} AS string)" if embedder.model_id else "cast(NULL AS string)"
     dim = f"cast({embedder.dim} AS bigint)" if embedder.dim else "cast(NULL AS bigint)"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION semql_version() RETURNS string RETURN {quote(__version__)}")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION semql_model() RETURNS string RETURN {model}")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION semql_dim() RETURNS bigint RETURN {dim}")
+    spark.sql("""
+        CREATE OR REPLACE TEMPORARY FUNCTION semql_dot(a ARRAY<FLOAT>, b ARRAY<DOUBLE>) RETURNS DOUBLE
+        RETURN aggregate(zip_with(a, b, (x, y) -> coalesce(double(x) * double(y), 0D)), 0D, (t, x) -> t + x)""")
 
 
 class Workspace:
@@ -98,10 +101,18 @@ class Workspace:
         db._write(f"{db.root}/_views/{name}.sql", sql)
 
     def query(self, sql: str, args: list | dict | None = None) -> QueryResult:
-        """Spark SQL over the tables; ``args`` fill ``?`` or ``:name``. Searches go through ``search``."""
+        """Spark SQL over the tables; ``args`` fill ``?`` or ``:name``.
+
+        Semantic predicates are written out: ``semql_dot(_emb_notes, :q) >= 0.5`` over ``<name>_data``, with ``embed(text)`` for ``:q``.
+        """
         self.register_views()
         return self._measured(lambda: self.spark.sql(sql, args=args))
 
+    def embed(self, text: str) -> Column:
+        """A query's vector as a literal for ``args``; null for a text that has none."""
+        vector = embed_one(text, self._open().embedder, self._open().metrics)
+        return F.lit(None) if vector is None else F.array(*map(F.lit, vector))
+
     def _measured(self, make: Callable[[], DataFrame]) -> QueryResult:
         before, began = self._open().metrics.snapshot(), time.perf_counter()
         df = make()

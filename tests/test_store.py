@@ -208,3 +208,12 @@ def test_embedder_specs():
     for bad in ("gte-small", "nothing"):
         with pytest.raises(ValueError):
             resolve_embedder(bad)
+
+
+def test_semantic_predicates_in_sql(spark, tmp_path):
+    w = Workspace(spark, f"file://{tmp_path}/ws3", HashingEmbedder())
+    w.open_database("x").create_table("ts", "status TEXT", "notes TEXT VECTOR")
+    w.open_database("x").insert("ts", [{"status": "open", "notes": "red apple"}, {"status": "shut", "notes": "red apple pie"}, {"status": "open", "notes": None}])
+    text = "SELECT status, round(semql_dot(_emb_notes, :q), 4) AS s FROM ts_data WHERE semql_dot(_emb_notes, :q) >= :least ORDER BY s DESC"
+    assert w.query(text, {"q": w.embed("red apple"), "least": 0.5}).rows() == [("open", 1.0), ("shut", 0.8165)]
+    assert w.query(text, {"q": w.embed(" "), "least": 0.5}).rows() == []

@@ -94,9 +94,8 @@ class VectorTable:
         rows = self._scores(rows, scored)
         names = [self.score_name(c) for c in scored]
         if len(matches) == 1 and where is None and parsed.mode == APPROXIMATE:
-            # TakeOrderedAndProject: each task keeps its best rows.
-            best = rows.where(F.col(f"`{names[0]}`").isNotNull())
-            rows = best.orderBy(F.desc(names[0]), self.rowid).limit(parsed.candidates or self.cap)
+            # TakeOrderedAndProject: each task keeps its best rows; rows without a vector come last and fail the threshold.
+            rows = rows.orderBy(F.desc_nulls_last(names[0]), self.rowid).limit(parsed.candidates or self.cap)
         if names and observation is not None:
             passed = reduce(lambda a, b: a & b, (F.col(f"`{n}`") >= self.threshold for n in names))
             rows = rows.observe(observation, F.count(f"`{names[0]}`").alias("candidates"), F.count(F.when(passed, 1)).alias("rows_matched"))

@@ -2,7 +2,8 @@
 
 Normalised lines are exploded as 128-bit hashes, distinct documents are counted per hash, and
 the positions to drop are gathered per document, whose text is then put together from the kept
-positions. The texts are shuffled once, with the dropped positions; the lines travel as hashes.
+positions. The texts are shuffled once, with the dropped positions; the lines travel as hashes, which are
+written to the shared folder before they are counted.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semql.llm.common import LOWER, SPACE, UPPER, ascii_lower, let, same, table
+from semql.llm.common import LOWER, SPACE, UPPER, ascii_lower, cut, let, same, table
 
 #: A second, independent 64-bit hash: the seed of the first differs by what it has hashed before.
 _SALT = "line"
@@ -37,6 +38,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
     lines = base.select(F.col(id_col).alias("__id"), "__th", F.posexplode(F.split("__text", "\n", -1)).alias("__pos", "__line"))
     lines = lines.select("__id", "__th", "__pos", line_key(F.col("__line")).alias("__key")).where(F.char_length("__key") >= min_chars)
     lines = lines.select("__id", "__th", "__pos", F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit(_SALT), "__key").alias("__h2"))
+    lines = cut(lines, "line-hashes")  # made once, counted and joined
 
     # Null ids as a flag, so that min() sees them first.
     who = F.struct(F.col("__id").isNotNull().alias("n"), F.col("__id").alias("i"))
@@ -46,7 +48,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
     else:
         held = lines.groupBy("__h1", "__h2", "__id").count().groupBy("__h1", "__h2")
         held = held.agg(F.min(who).alias("__first"), F.count("*").alias("__n")).where(F.col("__n") >= min_docs)
-    held = held.select("__h1", "__h2", F.col("__first.i").alias("__first_id"))
+    # A table of its own, so that both sides of the join are plain exchanges and a hot line can be split among tasks.
+    held = cut(held.select("__h1", "__h2", F.col("__first.i").alias("__first_id")), "held-lines")
     drop = lines.join(held, ["__h1", "__h2"]).where(~same(F.col("__id"), F.col("__first_id")))
     drop = drop.groupBy("__id", "__th").agg(F.collect_set("__pos").alias("__drop"))
 

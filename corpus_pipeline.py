@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from semql.llm import decontaminate, line_dedup, quality_rules, sentencepiece_codec, simhash
 from semql.llm.common import cut, set_aside, table
+from semql.shipping import ship
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,16 +29,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
+    ship(spark)
     return simhash.dedup(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
+    ship(spark)
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digests of ids, decoded text and byte spans."""
+    ship(spark)
     return sentencepiece_codec.encode(docs.select("doc_id", "text"), sentencepiece_codec.default_model(), result="ids")
 
 

@@ -74,3 +74,11 @@ class Reader:
         bit = i * self.low
         chunk = int.from_bytes(self.lows[bit // 8 : (bit + self.low + 7) // 8], "little") >> bit % 8
         return ((place - i) << self.low) | (chunk & ((1 << self.low) - 1))
+
+    def first_at_least(self, value: int) -> int:
+        """The position of the first value that isn't smaller, by binary search over ``select``."""
+        low, high = 0, self.n
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (mid + 1, high) if self.select(mid) < value else (low, mid)
+        return low

@@ -6,6 +6,7 @@ stands alone):
 
     part, seq   place of the chunk in the store: order by both
     n_docs, n_tokens, base (ids in the part before the chunk), width (bytes of an id)
+    first_id, last_id  smallest and largest id, by whose Parquet statistics lookups skip chunks
     boundaries  Elias-Fano sequence of n_docs + 1 local offsets, the first 0
     doc_ids     flag byte (1: the first ``nulls`` documents have a null id), 8 bytes smallest id,
                 8 bytes ``nulls``, then the Elias-Fano sequence of the other ids less the smallest
@@ -116,7 +117,7 @@ def _cut(text: str, together: bool) -> list[str]:
 
 _SPACES = re.compile("[^ \t\n\r]+").findall
 
-_CHUNK = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("base", pa.int64()), ("width", pa.int32()), ("boundaries", pa.binary()), ("doc_ids", pa.binary()), ("ids", pa.binary())])
+_CHUNK = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("base", pa.int64()), ("width", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("boundaries", pa.binary()), ("doc_ids", pa.binary()), ("ids", pa.binary())])
 _IDS = struct.Struct("<BqQ")
 
 
@@ -128,10 +129,15 @@ def pack_ids(ids: list[int | None]) -> bytes:
     return _IDS.pack(nulls > 0, least, nulls) + elias_fano.encode(known.astype(np.uint64) - np.int64(least).astype(np.uint64))
 
 
-def unpack_ids(data: bytes) -> list[int | None]:
+def open_ids(data: bytes) -> tuple[int, int, elias_fano.Reader]:
+    """The smallest id, the number of nulls before it, and the ids less the smallest."""
     _, least, nulls = _IDS.unpack_from(data)
-    known = elias_fano.Reader(data[_IDS.size :]).all() + np.int64(least).astype(np.uint64)
-    return [None] * nulls + known.astype(np.int64).tolist()
+    return least, nulls, elias_fano.Reader(data[_IDS.size :])
+
+
+def unpack_ids(data: bytes) -> list[int | None]:
+    least, nulls, known = open_ids(data)
+    return [None] * nulls + (known.all() + np.int64(least).astype(np.uint64)).astype(np.int64).tolist()
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 1, chunk_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -157,7 +163,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
 
         def chunk() -> pa.RecordBatch:
             ends = np.cumsum([0, *(len(x) for x in held)])
-            return batch_of(_CHUNK, [part], [seq], [len(held)], [n], [base], [kind.itemsize], [elias_fano.encode(ends)], [pack_ids(ids)], [b"".join(x.tobytes() for x in held)])
+            return batch_of(_CHUNK, [part], [seq], [len(held)], [n], [base], [kind.itemsize], [next((i for i in ids if i is not None), None)], [ids[-1]], [elias_fano.encode(ends)], [pack_ids(ids)], [b"".join(x.tobytes() for x in held)])
 
         for batch in text_slices(batches, max_bytes=4 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -173,7 +179,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
             yield chunk()
 
     chunks = rows.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(
-        run, "part int, seq int, n_docs long, n_tokens long, base long, width int, boundaries binary, doc_ids binary, ids binary"
+        run, "part int, seq int, n_docs long, n_tokens long, base long, width int, first_id long, last_id long, boundaries binary, doc_ids binary, ids binary"
     )
     chunks.write.parquet(path)
 
@@ -206,6 +212,35 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     return chunks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
+def fetch(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """``doc_id`` and ``ids`` of the documents with the given ids: a few, as they are listed in the filter.
+
+    Chunks without any are skipped by their statistics; in the others positions are found by select, without decoding
+    a chunk's sequences. Ids that aren't there give no row, ids that several documents have give one for each.
+    """
+    wanted = sorted(set(ids))
+    near = F.lit(False)
+    for i in wanted:
+        near = near | ((F.col("first_id") <= i) & (F.col("last_id") >= i))
+    chunks = spark.read.parquet(path).where(near).select("width", "boundaries", "doc_ids", "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+                least, nulls, known = open_ids(row["doc_ids"])
+                ends = elias_fano.Reader(row["boundaries"])
+                tokens, found = np.frombuffer(row["ids"], f"<u{row['width']}"), []
+                for i in (i for i in wanted if least <= i <= least + known.top):
+                    at = known.first_at_least(i - least)
+                    while at < known.n and known.select(at) == i - least:
+                        found.append((i, tokens[ends.select(nulls + at) : ends.select(nulls + at + 1)].astype(np.int32)))
+                        at += 1
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return chunks.mapInArrow(run, "doc_id long, ids array<int>")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-store")
     write(table(spark, sf_dir, "documents"), path, default_tokenizer())

@@ -20,6 +20,7 @@ def test_elias_fano(values):
     assert (reader.all() == values).all()
     for i in {0, len(values) // 2, len(values) - 1} if len(values) else ():
         assert reader.select(i) == values[i]
+        assert reader.first_at_least(int(values[i])) == np.searchsorted(values, values[i])
     with pytest.raises(IndexError):
         reader.select(len(values))
 
@@ -66,6 +67,17 @@ def test_round_trip(spark, tmp_path, tokenizer, chunk):
     assert sorted(((r.doc_id, r.ids) for r in got), key=repr) == want
 
 
+@pytest.mark.parametrize("chunk", [1, 60, 1 << 20])
+def test_fetch(spark, tmp_path, chunk):
+    path = f"file://{tmp_path}/store"
+    token_store.write(docs(spark), path, token_store.default_tokenizer(), chunk_tokens=chunk)
+    every = [(r.doc_id, r.ids) for r in token_store.read(spark, path, with_ids=True).collect()]
+    asked = [1, 5, 9, 10, 77, -3]
+    got = [tuple(r) for r in token_store.fetch(spark, path, asked).collect()]
+    assert sorted(got) == sorted(r for r in every if r[0] in asked) and len(got) == 6
+    assert token_store.fetch(spark, path, []).count() == 0
+
+
 def test_empty(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     token_store.write(empty(spark), path, token_store.default_tokenizer())

@@ -162,16 +162,12 @@ def occurrences(words: Words, block: Block) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _checked(words: Words, block: Block, which: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether occurrences are verbatim: hashes may meet by chance, so each word is compared, once for each spelling."""
-    good, seen = np.ones(len(which), bool), {}
+    """Whether occurrences are verbatim: hashes may meet by chance, so the words themselves are compared."""
+    good = np.ones(len(which), bool)
     for i, (w, q) in enumerate(zip(which.tolist(), at.tolist(), strict=True)):
         p = int(block.place[block.one[w]])
-        for k in range(int(block.sizes[w])):
-            number = int(block.numbers[p + k]) - 1
-            word = words[q + k]
-            if seen.setdefault(number, block.spelled[number]) != word:
-                good[i] = False
-                break
+        numbers = block.numbers[p : p + int(block.sizes[w])].tolist()
+        good[i] = all(words[q + k] == block.spelled[n - 1] for k, n in enumerate(numbers))
     return good
 
 

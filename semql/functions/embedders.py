@@ -7,7 +7,6 @@ import re
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -29,10 +28,14 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.where(norms > 1.1920929e-07, rows / np.maximum(norms, 1e-30), rows).astype(np.float32)
 
 
-@lru_cache(200_000)
-def _place(token: str, dim: int) -> tuple[int, int]:
-    digest = hashlib.md5(token.encode()).hexdigest()
-    return int(digest[:8], 16) % dim, 1 - 2 * (int(digest[8], 16) % 2)
+#: Twice the bucket of each token met so far, plus one for a negative sign, by dimension.
+_CODES: dict[int, dict[bytes, int]] = {}
+_KEEP = 500_000
+
+
+def _code(token: bytes, dim: int) -> int:
+    digest = hashlib.md5(token).hexdigest()
+    return int(digest[:8], 16) % dim * 2 + int(digest[8], 16) % 2
 
 
 @dataclass(frozen=True)
@@ -43,21 +46,24 @@ class HashingEmbedder:
     model_id: str = "hashing-256"
 
     def embed(self, texts: list[str]) -> list[np.ndarray | None]:
-        found: list[np.ndarray | None] = []
+        codes, found = _CODES.setdefault(self.dim, {}), []
         for text in texts:
             if text is None or not text.strip():
                 found.append(None)
                 continue
-            row = np.zeros(self.dim)
-            for token in _TOKENS(text.translate(_FOLD)):
-                bucket, sign = _place(token, self.dim)
-                row[bucket] += sign
-            found.append(_unit(row))
+            tokens = _TOKENS(text.encode().lower())  # of bytes: A-Z only
+            row = list(map(codes.get, tokens))
+            if None in row:
+                if len(codes) > _KEEP:
+                    codes.clear()
+                codes.update([(t, _code(t, self.dim)) for t in set(tokens) if t not in codes])
+                row = list(map(codes.__getitem__, tokens))
+            counts = np.bincount(np.asarray(row, np.int64), minlength=2 * self.dim).reshape(-1, 2)
+            found.append(_unit((counts[:, 0] - counts[:, 1]).astype(float)))
         return found
 
 
-_FOLD = {c: c + 32 for c in range(65, 91)}
-_TOKENS = re.compile("[a-z0-9]+").findall
+_TOKENS = re.compile(b"[a-z0-9]+").findall
 
 
 @dataclass(frozen=True)

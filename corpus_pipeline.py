@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semql.llm import decontaminate, line_dedup, quality_rules, sentencepiece_codec, simhash
+from semql.llm import decontaminate, line_dedup, near_copies, quality_rules, sentencepiece_codec
 from semql.llm.common import cut, set_aside, table
 from semql.shipping import ship
 
@@ -28,9 +28,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each group of texts that share at least 0.8 of their five-word shingles."""
     ship(spark)
-    return simhash.dedup(docs)
+    return near_copies.dedup(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """Quality rules with thresholds that adapt to language and source, in DataFrame operations only.
 
-Every text gets a few shares, such as signs per word. Each share is sketched per language and source in
-logarithmic buckets of 2 % width. Such sketches merge by adding counts, so partial ones combine in
-any order to the same result, a language's sketch is the sum of its sources', and a rerun after a lost
-executor finds the same thresholds. A group's threshold is a fence above its median, as far as four times the
-distance from its lowest tenth to the median: the part of the group that junk doesn't reach. Small
-groups take the sketch of their language, small languages that of all. Shares below ``least`` are never rejected.
+Every text gets a few shares, such as signs per word. The shares of texts that pass the base rules are
+sketched per language and source in logarithmic buckets of 2 % width. Such sketches merge by adding
+counts, so partial ones combine in any order to the same result, a language's sketch is the sum of its
+sources', and a rerun after a lost executor finds the same thresholds.
+
+A group's threshold is a fence in its own sketch: the upper quartile and six times the spread, which is the
+distance between the quartiles or, where that is less, what one sign or word more changes in a text of the
+group's median length. Fences of small groups lean on their language's, and those of small languages on
+that of all: geometric means, weighted with the number of texts against ``WEIGHT``. No other number limits a share.
 """
 
 from __future__ import annotations
@@ -16,17 +19,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from semql.llm.common import SPACE, cut, let, same, table
+from semql.llm.common import SPACE, cut, let, same, set_aside, table
 
-WINDOW, FENCE, MIN_GROUP, SCALE, GAMMA = 8, 4, 100, 10_000, 1.02
-#: What is sketched: numerator and denominator, and the share up to which every text passes.
+WINDOW, FENCE, WEIGHT, SCALE, GAMMA = 8, 6, 25, 10_000, 1.02
+#: What is sketched: numerator and denominator.
 RULES = {
-    "symbols": ("n_symbols", "n_words", 0.1),
-    "echoes": ("n_echoes", "n_words", 0.25),
-    "dup_lines": ("n_dup_lines", "n_lines", 0.5),
-    "upper": ("n_upper", "word_chars", 0.3),
-    "word_length": ("word_chars", "n_words", 12.0),
+    "symbols": ("n_symbols", "n_words"),
+    "echoes": ("n_echoes", "n_words"),
+    "dup_lines": ("n_dup_lines", "n_lines"),
+    "upper": ("n_upper", "word_chars"),
+    "word_length": ("word_chars", "n_words"),
 }
+_LENGTHS = tuple(dict.fromkeys(below for _, below in RULES.values()))
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_echoes")
 
 
@@ -99,7 +103,7 @@ def measures(text: Column) -> Column:
 
 def share(rule: str) -> Column:
     """A rule's share in ten-thousandths."""
-    top, below, _ = RULES[rule]
+    top, below = RULES[rule]
     return F.floor(F.try_divide(F.col(top) * SCALE, F.col(below)))
 
 
@@ -109,60 +113,82 @@ def bucket(x: Column) -> Column:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """Counts by ``lang``, ``source``, ``rule`` and ``bucket``: one mergeable sketch for each of the first three."""
-    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), bucket(share(r)).alias("bucket")) for r in RULES])
+    """Counts by ``lang``, ``source``, ``name`` and ``bucket``, for the shares and the lengths they are shares of: mergeable sketches by the first three."""
+    measured = {r: share(r) for r in RULES} | {n: F.col(n) for n in _LENGTHS}
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), bucket(x).alias("bucket")) for n, x in measured.items()])
     flat = rows.where(F.col("n_words") > 0).select("lang", "source", F.explode(pairs).alias("p"))
-    return flat.groupBy("lang", "source", F.col("p.rule").alias("rule"), F.col("p.bucket").alias("bucket")).agg(F.count("*").alias("n"))
+    return flat.groupBy("lang", "source", F.col("p.name").alias("name"), F.col("p.bucket").alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     """The fence of each rule by ``keys``, from sketches merged over everything else, with the group's size."""
-    merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "rule")
+    merged = sketch.groupBy(*keys, "name", "bucket").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*keys, "name")
     up_to = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = merged.select(*keys, "rule", "bucket", up_to.alias("up_to"), F.sum("n").over(group).alias("total"))
-    value = lambda q: F.min(F.when(F.col("up_to") * 10 >= F.col("total") * q, F.when(F.col("bucket") == 0, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bucket") - 0.5))))
-    found = ranked.groupBy(*keys, "rule").agg(value(1).alias("low"), value(5).alias("middle"), F.max("total").alias("size"))
-    return found.select(*keys, "rule", "size", (F.col("middle") + FENCE * (F.col("middle") - F.col("low"))).alias("fence"))
+    ranked = merged.select(*keys, "name", "bucket", up_to.alias("up_to"), F.sum("n").over(group).alias("total"))
+    value = F.when(F.col("bucket") == 0, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bucket") - 0.5))
+    quartile = lambda name, q: F.min(F.when((F.col("name") == name) & (F.col("up_to") * 4 >= F.col("total") * q), value))
+    fence = lambda r: quartile(r, 3) + FENCE * F.greatest(quartile(r, 3) - quartile(r, 1), SCALE / quartile(RULES[r][1], 2))
+    found = ranked.groupBy(*keys).agg(F.max("total").alias("size"), F.array(*[F.struct(F.lit(r).alias("rule"), fence(r).alias("fence")) for r in RULES]).alias("fences"))
+    return found.select(*keys, "size", F.explode("fences").alias("f")).select(*keys, "size", "f.rule", "f.fence")
 
 
-def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def _leaning(size: Column, fence: Column, parent: Column, weight: float) -> Column:
+    return F.exp((size * F.ln(fence) + weight * F.ln(parent)) / (size + weight))
+
+
+def thresholds(sketch: DataFrame, weight: float = WEIGHT) -> DataFrame:
     """One row per language and source: the largest allowed share of each rule, as a column ``max_<rule>``."""
-    own = _fences(sketch, ["lang", "source"]).alias("o")
+    own = _fences(sketch, ["lang", "source"])
     lang = _fences(sketch, ["lang"]).select(F.col("lang").alias("l_lang"), F.col("rule").alias("l_rule"), F.col("size").alias("l_size"), F.col("fence").alias("l_fence"))
     all_ = _fences(sketch, []).select(F.col("rule").alias("a_rule"), F.col("fence").alias("a_fence"))
     joined = own.join(lang, same(F.col("lang"), F.col("l_lang")) & (F.col("rule") == F.col("l_rule"))).join(all_, F.col("rule") == F.col("a_rule"))
-    fence = F.when(F.col("size") >= min_group, F.col("fence")).when(F.col("l_size") >= min_group, F.col("l_fence")).otherwise(F.col("a_fence"))
-    columns = [F.max(F.when(F.col("rule") == r, F.greatest(fence, F.lit(float(least * SCALE))))).alias(f"max_{r}") for r, (_, _, least) in RULES.items()]
-    return joined.groupBy("lang", "source").agg(*columns)
+    fence = _leaning(F.col("size"), F.col("fence"), _leaning(F.col("l_size"), F.col("l_fence"), F.col("a_fence"), weight), weight)
+    return joined.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r, fence)).alias(f"max_{r}") for r in RULES])
 
 
-def verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", id_col: str = "doc_id", min_group: int = MIN_GROUP) -> DataFrame:
-    """One row per row of ``docs``: ``id``, ``th`` (a hash of the text), the counts, ``base_failed`` and ``kept``.
+def counted(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with the counts of each text and ``base_failed``: fewer than 20 words, or over 30 % of them inside repeated windows."""
+    rows = docs.withColumn("__m", measures(F.col(text_col)))
+    rows = rows.select(*docs.columns, *[F.col(f"__m.{c}") for c in _COUNTS])
+    return rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
-    ``base_failed``: fewer than 20 words, or over 30 % of the words inside repeated windows. ``kept``: not
-    that, and no share above the group's threshold. Null texts have no words and fail; null languages
-    and sources are groups like any other. Rows repeat as they do in the input; an empty table gives an
-    empty table. Texts are read once; what is written and joined are ids and counts.
+
+def judged(rows: DataFrame, weight: float = WEIGHT) -> DataFrame:
+    """Counted rows with ``lang`` and ``source``, and with ``kept``.
+
+    The limits are a table of their own, one row per language and source, whose size Spark knows: it goes to
+    every task if it is small enough to broadcast, else both sides are shuffled.
     """
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), measures(F.col(text_col)).alias("m")
-    ).select("id", "th", "lang", "source", *[F.col(f"m.{c}") for c in _COUNTS])
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    rows = cut(rows.withColumn("base_failed", failed), "quality-counts")
-    limits = thresholds(sketches(rows), min_group).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
+    limits = cut(thresholds(sketches(rows.where(~F.col("base_failed"))), weight).withColumnsRenamed({"lang": "t_lang", "source": "t_source"}), "quality-limits")
     joined = rows.join(limits, same(F.col("lang"), F.col("t_lang")) & same(F.col("source"), F.col("t_source")), "left")
     passed = F.lit(True)
     for rule in RULES:
         passed = passed & (F.coalesce(share(rule), F.lit(0)) <= F.coalesce(F.col(f"max_{rule}"), F.lit(0.0)))
-    kept = F.when(F.col("base_failed"), False).otherwise(passed)
-    return joined.select("id", "th", "lang", "source", *_COUNTS, "base_failed", kept.alias("kept"))
+    return joined.select(*rows.columns, F.when(F.col("base_failed"), False).otherwise(passed).alias("kept"))
+
+
+def verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", id_col: str = "doc_id", weight: float = WEIGHT) -> DataFrame:
+    """One row per row of ``docs``: ``id``, ``lang``, ``source``, the counts, ``base_failed`` and ``kept``.
 
+    ``kept``: not ``base_failed``, and no share above the group's threshold; a share equal to it stays. Null
+    texts have no words and fail; null languages and sources are groups like any other. Texts are counted whole,
+    however long. Rows repeat as they do in the input, equal ones with equal verdicts; an empty table gives an
+    empty table. Texts are read once; what is written and joined are ids and counts.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    return judged(cut(counted(rows, "text").drop("text"), "quality-counts"), weight)
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that the rules reject: an anti join with their ids and text hashes."""
-    gone = verdicts(docs, text_col=text_col, id_col=id_col, **options).where(~F.col("kept")).select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
-    return docs.join(gone, same(docs[id_col], F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left_anti")
+
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", weight: float = WEIGHT) -> DataFrame:
+    """``docs`` without the rows that the rules reject, as ``verdicts`` has them.
+
+    Rows are written once with their counts beside them and filtered where they lie, so no text is shuffled.
+    """
+    rows, restore = set_aside(docs, text_col, lang_col, source_col)
+    rows = rows.withColumnsRenamed({text_col: "text", lang_col: "lang", source_col: "source"})
+    kept = judged(cut(counted(rows, "text"), "quality-counts"), weight).where("kept")
+    return restore(kept.withColumnsRenamed({"text": text_col, "lang": lang_col, "source": source_col}))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,20 +199,29 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_fences(name: str, keys: str) -> str:
     by = f"{keys}, " if keys else ""
-    merged = f"(SELECT {by}rule, bucket, sum(n) AS n FROM qr_sketch GROUP BY {by}rule, bucket)"
-    value = "CASE WHEN bucket = 0 THEN 0.0 ELSE pow(CAST({g} AS DOUBLE), bucket - 0.5) END".format(g=GAMMA)
+    equal = " AND ".join([f"b.{k} IS NOT DISTINCT FROM a.{k}" for k in keys.split(", ") if k] + ["b.name = u.below"])
+    value = f"CASE WHEN bucket = 0 THEN 0.0 ELSE pow(CAST({GAMMA} AS DOUBLE), bucket - 0.5) END"
+    quartiles = ", ".join(f"min({value}) FILTER (WHERE up_to * 4 >= total * {q}) AS q{q}" for q in (1, 2, 3))
     return f"""
-{name} AS (SELECT {by}rule, max(total) AS size, min({value}) FILTER (WHERE up_to * 10 >= total * 5)
-             + {FENCE} * (min({value}) FILTER (WHERE up_to * 10 >= total * 5) - min({value}) FILTER (WHERE up_to * 10 >= total)) AS fence
-           FROM (SELECT {by}rule, bucket, sum(n) OVER (PARTITION BY {by}rule ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS up_to,
-                        sum(n) OVER (PARTITION BY {by}rule) AS total FROM {merged}) GROUP BY {by}rule)"""
+{name}_q AS (SELECT {by}name, max(total) AS size, {quartiles}
+             FROM (SELECT {by}name, bucket, sum(n) OVER (PARTITION BY {by}name ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS up_to,
+                          sum(n) OVER (PARTITION BY {by}name) AS total
+                   FROM (SELECT {by}name, bucket, sum(n) AS n FROM qr_sketch GROUP BY {by}name, bucket)) GROUP BY {by}name),
+{name} AS (SELECT {"".join(f"a.{k}, " for k in keys.split(", ") if k)}a.name AS rule, a.size, a.q3 + {FENCE} * greatest(a.q3 - a.q1, CAST({SCALE} AS DOUBLE) / b.q2) AS fence
+           FROM {name}_q a JOIN (VALUES {_BELOW}) u(rule, below) ON u.rule = a.name JOIN {name}_q b ON {equal})"""
+
+
+def _sql_leaning(size: str, fence: str, parent: str) -> str:
+    return f"exp(({size} * ln({fence}) + {WEIGHT} * ln({parent})) / ({size} + {WEIGHT}))"
 
 
 _W = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-_LEAST = " ".join(f"WHEN '{r}' THEN {least * SCALE}" for r, (_, _, least) in RULES.items())
+_BELOW = ", ".join(f"('{r}', '{b}')" for r, (_, b) in RULES.items())
 _SHARES = " UNION ALL ".join(
-    f"SELECT n, lang, source, '{r}' AS rule, CAST(floor({a} * CAST({SCALE} AS DOUBLE) / nullif({b}, 0)) AS BIGINT) AS x FROM qr_counts" for r, (a, b, _) in RULES.items()
+    [f"SELECT n, lang, source, '{r}' AS name, CAST(floor({a} * CAST({SCALE} AS DOUBLE) / nullif({b}, 0)) AS BIGINT) AS x FROM qr_counts" for r, (a, b) in RULES.items()]
+    + [f"SELECT n, lang, source, '{b}', CAST({b} AS BIGINT) FROM qr_counts" for b in _LENGTHS]
 )
+_FAILED = "(n_words < 20 OR 100 * n_repeat_words > 30 * n_words)"
 
 #: From ``documents_in(doc_id, text, lang, source)`` to ``qr_out``.
 SQL_STEPS = f"""
@@ -202,15 +237,13 @@ qr_counts AS (SELECT q.n, doc_id, lang, source, len(w) AS n_words, CAST(coalesce
                      len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_echoes
               FROM qr_words q LEFT JOIN qr_repeats r ON r.n = q.n LEFT JOIN qr_lines l ON l.n = q.n),
 qr_shares AS ({_SHARES}),
-qr_sketch AS (SELECT lang, source, rule, CASE WHEN x = 0 THEN 0 ELSE 1 + CAST(floor(ln(CAST(x AS DOUBLE)) / CAST({math.log(GAMMA)!r} AS DOUBLE) + 1e-9) AS BIGINT) END AS bucket, count(*) AS n
-              FROM qr_shares s JOIN (SELECT n AS k FROM qr_counts WHERE n_words > 0) c ON c.k = s.n GROUP BY ALL),
+qr_sketch AS (SELECT lang, source, name, CASE WHEN x = 0 THEN 0 ELSE 1 + CAST(floor(ln(CAST(x AS DOUBLE)) / CAST({math.log(GAMMA)!r} AS DOUBLE) + 1e-9) AS BIGINT) END AS bucket, count(*) AS n
+              FROM qr_shares s JOIN (SELECT n AS k FROM qr_counts WHERE NOT {_FAILED}) c ON c.k = s.n GROUP BY ALL),
 {_sql_fences("qr_own", "lang, source")}, {_sql_fences("qr_lang", "lang")}, {_sql_fences("qr_all", "")},
-qr_limits AS (SELECT o.lang, o.source, o.rule, greatest(CASE o.rule {_LEAST} END,
-                CASE WHEN o.size >= {MIN_GROUP} THEN o.fence WHEN l.size >= {MIN_GROUP} THEN l.fence ELSE a.fence END) AS most
+qr_limits AS (SELECT o.lang, o.source, o.rule, {_sql_leaning("o.size", "o.fence", _sql_leaning("l.size", "l.fence", "a.fence"))} AS most
               FROM qr_own o JOIN qr_lang l ON l.lang IS NOT DISTINCT FROM o.lang AND l.rule = o.rule JOIN qr_all a ON a.rule = o.rule),
-qr_over AS (SELECT DISTINCT s.n FROM qr_shares s JOIN qr_limits m ON m.lang IS NOT DISTINCT FROM s.lang AND m.source IS NOT DISTINCT FROM s.source AND m.rule = s.rule WHERE s.x > m.most),
-qr_out AS (SELECT c.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-                  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND o.n IS NULL AS kept FROM qr_counts c LEFT JOIN qr_over o ON o.n = c.n)
+qr_over AS (SELECT DISTINCT s.n FROM qr_shares s JOIN qr_limits m ON m.lang IS NOT DISTINCT FROM s.lang AND m.source IS NOT DISTINCT FROM s.source AND m.rule = s.name WHERE s.x > m.most),
+qr_out AS (SELECT c.*, {_FAILED} AS base_failed, NOT {_FAILED} AND o.n IS NULL AS kept FROM qr_counts c LEFT JOIN qr_over o ON o.n = c.n)
 """
 
 SQL = f"""

@@ -4,6 +4,7 @@ from collections import Counter
 import duckdb
 import pytest
 from fixtures import ROWS, clashing, docs, empty
+from pyspark.sql import functions as F
 
 from semql.llm import quality_rules as qr
 
@@ -57,10 +58,37 @@ def test_sketches_merge(spark):
     rows = qr.verdicts(docs(spark, CLEAN + JUNK)).select("lang", "source", *qr._COUNTS)
     whole = {tuple(r) for r in qr.sketches(rows).collect()}
     halves = [qr.sketches(rows.where(c)) for c in ("n_words % 2 = 0", "n_words % 2 = 1")]
-    merged = halves[0].union(halves[1]).groupBy("lang", "source", "rule", "bucket").sum("n")
+    merged = halves[0].union(halves[1]).groupBy("lang", "source", "name", "bucket").sum("n")
     assert {tuple(r) for r in merged.collect()} == whole
 
 
+def test_fences_by_hand(spark):
+    """A lone group's fence: the upper quartile and six spreads, of values in buckets of 2 %."""
+    rows = [(i, " ".join(["word"] * 3 + [f"w{k}x{i}" for k in range(60 + i)]) + " #" * (i % 4), "en", "a") for i in range(80)]
+    found = qr.thresholds(qr.sketches(qr.verdicts(docs(spark, rows)))).first()
+    measured = sorted((i % 4) * 10_000 // (63 + i + i % 4) for i in range(80))
+    lengths = sorted(63 + i + i % 4 for i in range(80))
+    low, high = measured[19], measured[59]
+    assert found.max_symbols == pytest.approx(high + 6 * max(high - low, 10_000 / lengths[39]), rel=0.05)
+
+
+def test_sketches_decide_on_the_tables(spark):
+    """Each group's limits are its own, and where they reject a text its sketch alone has decided that."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = qr.verdicts(table).cache()
+    limits = [r.asDict() for r in qr.thresholds(qr.sketches(rows.where("not base_failed"))).collect()]
+    for rule in qr.RULES:
+        assert len({round(x[f"max_{rule}"], 6) for x in limits}) > 20
+    judged = rows.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), rows["id"] == F.col("doc_id")).where("not base_failed")
+    by = {r.quality: (r.n, r.kept) for r in judged.groupBy("quality").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()}
+    assert by[1][1] >= 0.99 * by[1][0] and by[0][1] <= 0.02 * by[0][0]
+
+
+def test_texts_are_not_shuffled(spark):
+    plan = qr.keep_good(docs(spark, CLEAN + JUNK))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_main_path_has_no_python(spark):
     plan = qr.verdicts(docs(spark, CLEAN))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

@@ -32,14 +32,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """``docs`` with all columns but ``used`` under names that no operator uses, and what undoes that.
 
-    An operator's own columns then can't hide input columns of the same names.
+    An operator's own columns then can't hide input columns of the same names. What undoes it may name columns to add.
     """
     names = {c: c if c in used else f"__c{i}" for i, c in enumerate(docs.columns)}
     renamed = docs.toDF(*names.values())
-    return renamed, lambda out: out.select(*names.values()).toDF(*names)
+    return renamed, lambda out, *more: out.select(*names.values(), *more).toDF(*names, *more)
 
 
 def same(a: Column, b: Column) -> Column:

@@ -25,10 +25,11 @@ def _pack(values: np.ndarray, width: int) -> bytes:
     return np.packbits(bits.reshape(-1), bitorder="little").tobytes()
 
 
-def _unpack(data: bytes, width: int, n: int) -> np.ndarray:
+def _unpack(data: bytes, width: int, n: int, skip: int = 0) -> np.ndarray:
+    """``n`` values of ``width`` bits, after ``skip`` bits."""
     if not width or not n:
         return np.zeros(n, np.uint64)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
+    bits = np.unpackbits(np.frombuffer(data, np.uint8), count=skip + n * width, bitorder="little")[skip:].reshape(n, width)
     whole = np.zeros((n, 64), np.uint8)
     whole[:, :width] = bits
     return np.packbits(whole, axis=1, bitorder="little").view("<u8").reshape(-1)
@@ -59,21 +60,25 @@ class Reader:
         size = -(-self.n_high // 8)
         self.high, self.lows = np.frombuffer(data, np.uint8, size, at), data[at + size :]
 
+    def values(self, begin: int, end: int) -> np.ndarray:
+        """Values ``begin`` to ``end - 1``: the ones from the sample before, and the low parts beside them."""
+        if begin >= end:
+            return np.zeros(0, np.uint64)
+        near, last = begin // EVERY, -(-end // EVERY)
+        at, stop = int(self.samples[near]), int(self.samples[last]) if last < len(self.samples) else self.n_high
+        bits = np.unpackbits(self.high[at // 8 : -(-stop // 8)], bitorder="little")[at % 8 :][: stop - at]
+        ones = (np.flatnonzero(bits) + at)[begin - near * EVERY : end - near * EVERY].astype(np.uint64) - np.arange(begin, end, dtype=np.uint64)
+        first, bit = begin * self.low // 8, begin * self.low % 8
+        return (ones << np.uint64(self.low)) | _unpack(self.lows[first:], self.low, end - begin, bit)
+
     def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, count=self.n_high, bitorder="little")).astype(np.uint64)
-        return ((ones - np.arange(self.n, dtype=np.uint64)) << np.uint64(self.low)) | _unpack(self.lows, self.low, self.n)
+        return self.values(0, self.n)
 
     def select(self, i: int) -> int:
         """Value ``i``, from the nearest sample before it."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        near, at = i - i % EVERY, int(self.samples[i // EVERY])
-        end = int(self.samples[i // EVERY + 1]) + 1 if i // EVERY + 1 < len(self.samples) else self.n_high
-        bits = np.unpackbits(self.high[at // 8 : -(-end // 8)], bitorder="little")[at % 8 :]
-        place = at + int(np.flatnonzero(bits)[i - near])
-        bit = i * self.low
-        chunk = int.from_bytes(self.lows[bit // 8 : (bit + self.low + 7) // 8], "little") >> bit % 8
-        return ((place - i) << self.low) | (chunk & ((1 << self.low) - 1))
+        return int(self.values(i, i + 1)[0])
 
     def first_at_least(self, value: int) -> int:
         """The position of the first value that isn't smaller, by binary search over ``select``."""

@@ -4,11 +4,15 @@ Each language has a model of the characters of its lower-case words, with marks
 come from all labelled rows: tasks count their words, turn them into n-gram counts, and Spark adds these
 up. Orders below the highest use continuation counts, in how many different left contexts an n-gram
 stands, as do n-grams that don't begin a word. Discounts come from the counts of counts. The models lie in
-arrays sorted by the 64-bit hash of the n-gram, one column a language: discounted probabilities of
-n-grams, and what contexts leave for shorter ones.
+arrays sorted by the 64-bit hash of the n-gram, with an entry for each language that has it: discounted
+probabilities of n-grams, and what contexts leave for shorter ones.
+
+N-grams that make up less than ``LEAST_SHARE`` of their order's occurrences in a language are pruned, and
+their mass goes to the shorter ones, so probabilities still sum to one. This alone bounds a model, at
+``1 / LEAST_SHARE`` n-grams a language and order, however large the corpus.
 
 A text goes to the language of the lowest cross-entropy per character. How sure that is, is a logistic curve of
-the distance to the second, fitted on labelled rows kept out of the counts; texts further from their
+the distance to the second, fitted on all labelled rows kept out of the counts; texts further from their
 language than nearly all of those rows, or nearer to a tie than even odds, are rejected.
 """
 
@@ -24,15 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from semql.llm.common import batch_of, cut, kept_in_worker, table, text_slices
 
 ORDER = 4
-#: The most frequent n-grams of a language and order that a model keeps: what bounds the broadcast.
-MAX_GRAMS = 1_000_000
-#: Labelled rows for the calibration, at most.
-MAX_CALIBRATION = 4_000
+#: N-grams of a smaller share of their language and order are pruned.
+LEAST_SHARE = 1e-6
 BEGIN, END = 1, 2
 #: Words whose codes are laid out at once.
 _BLOCK = 50_000
@@ -111,32 +112,56 @@ def gram_counts(rows: DataFrame, order: int) -> DataFrame:
     return found.groupBy("lang", "k", "h", "ctx", "suf", "bos").agg(F.sum("n").alias("n"))
 
 
+@dataclass
+class Values:
+    """Ascending hashes, and the languages that have each with their values: those of hash ``i`` are entries ``at[i]`` to ``at[i + 1]``."""
+
+    hashes: np.ndarray
+    at: np.ndarray
+    langs: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, langs: np.ndarray, values: np.ndarray) -> Values:
+        order = np.lexsort((langs, hashes))
+        found, first = np.unique(hashes[order], return_index=True)
+        return cls(found, np.append(first, len(order)), langs[order].astype(np.int32), values[order].astype(np.float32))
+
+    def rows(self, wanted: np.ndarray, n_langs: int, default: float) -> np.ndarray:
+        """A row for each wanted hash, ``default`` where a language doesn't have it."""
+        out = np.full((len(wanted), n_langs), default, np.float32)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+            row = np.flatnonzero(self.hashes[at] == wanted)
+            begin, size = self.at[at[row]], self.at[at[row] + 1] - self.at[at[row]]
+            entry = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+            out[np.repeat(row, size), self.langs[entry]] = self.values[entry]
+        return out
+
+
 @dataclass
 class Model:
     langs: list[str]
     order: int
     symbols: int
-    alpha: list[tuple[np.ndarray, np.ndarray]]  # by order: sorted hashes, a row of probabilities for each
-    gamma: list[tuple[np.ndarray, np.ndarray]]  # the same for contexts: what is left for shorter ones
+    alpha: list[Values]  # by order: probabilities of n-grams
+    gamma: list[Values]  # the same for contexts: what is left for shorter ones
     curve: tuple[float, float] = (0.0, 1.0)
     limits: np.ndarray | None = None  # by language: the largest cross-entropy not rejected
 
 
-def _columns(rows: list, langs: list[str], value: str, default: float, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
-    for k in range(1, order + 1):
-        of = rows[rows["k"] == k]
-        hashes, at = np.unique(of["h"].to_numpy().astype(np.int64).view(np.uint64), return_inverse=True)
-        matrix = np.full((len(hashes), len(langs)), default, np.float32)
-        matrix[at, of["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)] = of[value].to_numpy(np.float32)
-        out.append((hashes, matrix))
-    return out
+def _by_order(found: DataFrame, langs: list[str], order: int) -> list[Values]:
+    rows, number = found.toPandas(), {x: i for i, x in enumerate(langs)}
+    parts = [rows[rows["k"] == k] for k in range(1, order + 1)]
+    return [Values.of(p["h"].to_numpy(np.int64).view(np.uint64), p["lang"].map(number).to_numpy(np.int64), p["value"].to_numpy(float)) for p in parts]
 
 
-def train(rows: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Model:
+def train(rows: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE) -> Model:
     """Models of ``rows(text, lang)``, without nulls, from counts over all of them.
 
-    Of each language and order the ``max_grams`` most frequent n-grams stay; only these reach the driver.
+    N-grams of less than ``least_share`` of their language and order are pruned: only the others reach the
+    driver, at most ``1 / least_share`` for each. N-grams of equal counts stay or go together. An empty
+    table gives a model without languages.
     """
     counts = cut(gram_counts(rows, order), "gram-counts")
     # How many n-grams one longer end in this one.
@@ -145,50 +170,44 @@ def train(rows: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Mo
     whole = F.col("bos") | (F.col("k") == order)
     adjusted = adjusted.select("lang", "k", "h", "ctx", "n", F.when(whole, F.col("n")).otherwise(F.coalesce("lefts", F.lit(1))).alias("a"))
     adjusted = cut(adjusted, "gram-adjusted")
-    ones = adjusted.groupBy("lang", "k").agg(F.count(F.when(F.col("a") == 1, 1)).alias("n1"), F.count(F.when(F.col("a") == 2, 1)).alias("n2"))
-    discount = {(r.lang, r.k): min(0.9, max(0.1, (r.n1 + 0.5) / (r.n1 + 2 * r.n2 + 1.0))) for r in ones.collect()}
-    langs = sorted({lang for lang, _ in discount})
-    rates = rows.sparkSession.createDataFrame([(x, k, d) for (x, k), d in discount.items()] or [("", 0, 0.5)], "lang string, k int, d double")
-    contexts = adjusted.groupBy("lang", "k", "ctx").agg(F.sum("a").alias("total"), F.count("*").alias("types"), F.sum("n").alias("n"))
-    contexts = contexts.join(F.broadcast(rates), ["lang", "k"])
-
-    def most(df: DataFrame, key: str) -> DataFrame:
-        """The most frequent of each language and order: those at least as frequent as the last that has a place."""
-        levels = df.groupBy("lang", "k", "n").agg(F.count("*").alias("c"))
-        up_to = F.sum("c").over(Window.partitionBy("lang", "k").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
-        least = levels.withColumn("u", up_to).where(F.col("u") <= max_grams).groupBy("lang", "k").agg(F.min("n").alias("least"))
-        return df.join(F.broadcast(least), ["lang", "k"]).where(F.col("n") >= F.col("least")).select("lang", "k", F.col(key).alias("h"), "value")
-
-    alpha = adjusted.join(contexts.select("lang", "k", "ctx", "total", "d"), ["lang", "k", "ctx"])
-    alpha = alpha.withColumn("value", (F.col("a") - F.col("d")) / F.col("total"))
-    gamma = contexts.withColumn("value", F.col("d") * F.col("types") / F.col("total"))
-    alphas, gammas = (most(df, key).toPandas() for df, key in ((alpha, "h"), (gamma, "ctx")))
-    symbols = int((alphas["k"] == 1).sum()) + 1
-    return Model(langs, order, symbols, _columns(alphas, langs, "value", 0.0, order), _columns(gammas, langs, "value", 1.0, order))
-
-
-def _rows_of(hashes: np.ndarray, matrix: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
-    if not len(hashes):
-        return np.full((len(wanted), matrix.shape[1]), default, np.float32)
-    at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
-    return np.where((hashes[at] == wanted)[:, None], matrix[at], np.float32(default))
+    # A row for each language and order.
+    sums = adjusted.groupBy("lang", "k").agg(F.count(F.when(F.col("a") == 1, 1)).alias("n1"), F.count(F.when(F.col("a") == 2, 1)).alias("n2"), F.sum("n").alias("n")).collect()
+    rates = [(r.lang, r.k, min(0.9, max(0.1, (r.n1 + 0.5) / (r.n1 + 2 * r.n2 + 1.0))), r.n * least_share) for r in sums]
+    langs = sorted({r.lang for r in sums})
+    rates = rows.sparkSession.createDataFrame(rates or [("", 0, 0.5, 0.0)], "lang string, k int, d double, least double")
+    rated = adjusted.join(F.broadcast(rates), ["lang", "k"]).withColumn("stays", F.col("n") >= F.col("least"))
+    contexts = rated.groupBy("lang", "k", "ctx").agg(
+        F.sum("a").alias("total"), F.sum(F.when(F.col("stays"), F.col("a"))).alias("held"), F.count(F.when(F.col("stays"), 1)).alias("types"), F.first("d").alias("d")
+    )
+    contexts = contexts.where(F.col("types") > 0)
+    alpha = rated.where("stays").drop("d").join(contexts.select("lang", "k", "ctx", "total", "d"), ["lang", "k", "ctx"])
+    alpha = alpha.select("lang", "k", "h", ((F.col("a") - F.col("d")) / F.col("total")).alias("value"))
+    # All that the n-grams of a context don't take: discounts, and what was pruned.
+    gamma = contexts.select("lang", "k", F.col("ctx").alias("h"), ((F.col("total") - F.col("held") + F.col("d") * F.col("types")) / F.col("total")).alias("value"))
+    symbols = counts.where(F.col("k") == 1).select("h").distinct().count() + 1
+    return Model(langs, order, symbols, _by_order(alpha, langs, order), _by_order(gamma, langs, order))
+
+
+def probabilities(model: Model, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each code after those before it in its word, under each language; one for begin marks."""
+    p = np.full((len(codes), len(model.langs)), 1 / model.symbols, np.float32)
+    for g, alpha, gamma in zip(grams(codes, starts, model.order), model.alpha, model.gamma, strict=True):
+        p[g.ends] = alpha.rows(g.hashes, len(model.langs), 0.0) + gamma.rows(g.contexts, len(model.langs), 1.0) * p[g.ends]
+    p[starts] = 1
+    return p
 
 
 def word_bits(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bits of each word under each language, and its number of codes (letters and the end mark)."""
     codes, starts = spelled(words)
-    p = np.full((len(codes), len(model.langs)), 1 / model.symbols, np.float32)
-    for g, alpha, gamma in zip(grams(codes, starts, model.order), model.alpha, model.gamma, strict=True):
-        p[g.ends] = _rows_of(*alpha, g.hashes, 0.0) + _rows_of(*gamma, g.contexts, 1.0) * p[g.ends]
-    p[starts] = 1
-    return -np.add.reduceat(np.log2(p), starts, axis=0), np.diff([*starts, len(codes)]) - 1
+    return -np.add.reduceat(np.log2(probabilities(model, codes, starts)), starts, axis=0), np.diff([*starts, len(codes)]) - 1
 
 
 class Scorer:
-    """Bits of texts; words that come again are looked up, as many as ``keep``."""
+    """Bits of texts; words that come again are looked up, as many as fit ``keep`` numbers."""
 
-    def __init__(self, model: Model, keep: int = 400_000):
-        self.model, self.keep, self.known = model, keep, {}
+    def __init__(self, model: Model, keep: int = 1_600_000):
+        self.model, self.keep, self.known = model, keep // max(1, len(model.langs)), {}
         # Rows 0 and 1 are zeros: no word has row 0, words without a letter have row 1.
         self.bits, self.codes = np.zeros((2, len(model.langs)), np.float32), np.zeros(2, np.int64)
 
@@ -242,7 +261,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     Adds ``best`` (``und`` if the text is null or has no letter), ``entropy`` (bits per code under it),
     ``gap`` (bits to the second language, over the whole text), ``codes``, ``score`` (estimated probability that
     ``best`` is right, 0 for ``und``) and ``rejected``. Texts are read whole. Rows repeat as they do in the
-    input; inputs named as an added column are replaced. With one language learned, gaps are zero; with none every text is ``und``.
+    input; inputs named as an added column are replaced; an empty table gives an empty table. Of languages at the
+    same entropy the first by name is taken. With one language learned, gaps are zero; with none every text is ``und``.
     """
     sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     kept = [c for c in docs.columns if c != text_col and c not in _RESULT.names]
@@ -273,24 +293,42 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     return docs.select(*kept, docs[text_col].alias("__text")).mapInArrow(run, schema)
 
 
-def calibrate(model: Model, rows: DataFrame, max_rows: int = MAX_CALIBRATION) -> Model:
-    """Fit curve and limits on at most ``max_rows`` of ``rows(text, lang)``, which the models haven't seen."""
-    sample = identify(rows.limit(max_rows), model).where(F.col("best") != "und").select("lang", "best", "entropy", "gap").toPandas()
-    right = (sample["lang"] == sample["best"]).to_numpy()
-    x = np.log1p(sample["gap"].to_numpy(float)) if len(sample) else np.zeros(0)
+#: Buckets for a step of one in the logarithm of a gap, and for a bit of entropy.
+_GAPS, _BITS = 16, 64
+
+
+def calibrate(model: Model, rows: DataFrame) -> Model:
+    """Fit curve and limits on ``rows(text, lang)``, which the models haven't seen.
+
+    All rows count: gaps and entropies are counted in buckets, whose numbers of rows are all that the driver
+    sees, so the fit is the same however the rows are dealt out. Without rows the curve and the lack
+    of limits stay as they are.
+    """
+    found = identify(rows, model).where(F.col("best") != "und")
+    right = F.col("lang") == F.col("best")
+    entries = F.array(
+        F.struct(F.lit("").alias("of"), right.alias("right"), F.floor(F.log1p("gap") * _GAPS).alias("bucket")),
+        F.struct(F.col("best").alias("of"), right.alias("right"), F.floor(F.col("entropy") * _BITS).alias("bucket")),
+    )
+    counts = found.select(F.explode(entries).alias("e")).groupBy("e.of", "e.right", "e.bucket").agg(F.count("*").alias("n")).collect()
+    gaps = sorted((r.bucket, r.right, r.n) for r in counts if r.of == "")
     # One right and one wrong row at a tie, so that the fit exists and small gaps mean even odds.
-    x, y = np.concatenate([x, [0.0, 0.0]]), np.concatenate([right, [True, False]]).astype(float)
+    x = np.asarray([*((b + 0.5) / _GAPS for b, _, _ in gaps), 0.0, 0.0])
+    y, n = np.asarray([*(r for _, r, _ in gaps), True, False], float), np.asarray([*(c for _, _, c in gaps), 1, 1], float)
     w = np.asarray([0.0, 1.0])
     design = np.column_stack([np.ones(len(x)), x])
     for _ in range(50):
         p = 1 / (1 + np.exp(-design @ w))
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
-        w = w + np.linalg.solve(hessian, design.T @ (y - p) - 1e-3 * (w - [0.0, 1.0]))
+        hessian = (design * (n * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        w = w + np.linalg.solve(hessian, design.T @ (n * (y - p)) - 1e-3 * (w - [0.0, 1.0]))
     limits = np.full(len(model.langs), np.inf)
     for i, lang in enumerate(model.langs):
-        own = sample["entropy"][right & (sample["best"] == lang).to_numpy()].to_numpy(float) if len(sample) else np.zeros(0)
-        if len(own) >= 20:
-            limits[i] = np.quantile(own, 0.99) + 3 * own.std() + 0.5
+        own = sorted((r.bucket, r.n) for r in counts if r.of == lang and r.right)
+        if own:
+            value, size = (np.asarray([b for b, _ in own]) + 0.5) / _BITS, np.asarray([c for _, c in own])
+            mean = (value * size).sum() / size.sum()
+            spread = float(((value - mean) ** 2 * size).sum() / size.sum()) ** 0.5
+            limits[i] = value[np.searchsorted(np.cumsum(size), 0.99 * size.sum())] + 3 * spread + 0.5
     model.curve, model.limits = (float(w[0]), max(0.0, float(w[1]))), limits
     return model
 

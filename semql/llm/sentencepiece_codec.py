@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from semql.llm.common import batch_of, kept_in_worker, table, text_slices
-from semql.llm.tokens import WordIds
+from semql.llm.tokens import WordIds, id_type
 
 MARK = "▁"  # stands for a space in pieces
 _MARK = MARK.encode()
@@ -146,9 +146,9 @@ class Codec:
             and self.normalizer.dummy
             and all(p.type in (byte, normal) or p.type in (2, 3) for p in parsed.pieces)
             and not any(MARK in p.lstrip(MARK) or "\n" in p for p in inner)
-            and len(parsed.pieces) <= 1 << 16
         )
-        self.words = WordIds(self._words)
+        self.words = WordIds(self._words, id_type(len(parsed.pieces)))
+        self.decimal = [str(i) for i in range(len(parsed.pieces))]
 
     def _words(self, words: list[str]) -> Iterator[list[int]]:
         """Ids of words that begin with a space or mark, which the library adds itself, or with a line end."""
@@ -191,7 +191,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", result: str
 
     The model is read on the driver and sent to the workers (a file of a few MB). A null text is an
     empty one, with no pieces; texts of any length are encoded whole. Inputs named as an added column
-    are replaced; rows repeat as they do in the input.
+    are replaced; rows repeat as they do in the input, equal texts with equal pieces; an empty table gives
+    an empty table.
     """
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
@@ -212,7 +213,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", result: str
                 else:
                     numbers = ids.tolist()
                     spans = zlib.crc32(ends.astype("<i4"), zlib.crc32(begins.astype("<i4")))
-                    digest = (len(ids), _sha(",".join(map(_DECIMAL.__getitem__, numbers))), _sha(codec.library.decode(numbers)), spans)
+                    digest = (len(ids), _sha(",".join(map(codec.decimal.__getitem__, numbers))), _sha(codec.library.decode(numbers)), spans)
                     rows.append((*digest, ids.astype(np.int32)) if result == "ids" else digest)
             new = batch_of(added, *zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *new.columns], names=[*kept, *added.names])
@@ -221,9 +222,6 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", result: str
     return docs.select(*kept, docs[text_col].alias("__text")).mapInArrow(run, schema)
 
 
-_DECIMAL = [str(i) for i in range(1 << 16)]
-
-
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 

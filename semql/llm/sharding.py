@@ -6,21 +6,25 @@ room. With room for exactly all rows, shares differ by one row at most.
 
 How many rows each arc of the ring sends where follows from the arcs' row counts alone: a table of
 one row per virtual node, whose size the parameters fix. The driver settles that flow, and gets back
-ranges: rows a to b of an arc, in hash order, go to shard s from slot t on. Rows then find their
-range by their rank in the arc. Nothing else is gathered, and no shard is ever one task.
+ranges: rows a to b of an arc, in ring order, go to shard s from slot t on. Rows then find their
+range by their rank in the arc, which is their place among its rows in a partition of the sorted table and the
+number of such rows in partitions before. Nothing else is gathered, and no shard, arc or id is ever one task.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
-from semql.llm.common import table
+from semql.llm.common import cut, set_aside, table
 
 NODES = 64
 _SPAN = 1 << 32
@@ -76,14 +80,34 @@ def flow(ring_: list[tuple[int, int]], counts: dict[int, int], room: list[int])
     return ranges
 
 
+def ranked(rows: DataFrame) -> DataFrame:
+    """Rows sorted by ``__arc``, with the number ``__part`` of their partition and ``__place``, their number among its rows of the arc."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, seen = TaskContext.get().partitionId(), -1, 0
+        for batch in batches:
+            arcs = batch.column("__arc").to_numpy()
+            if not len(arcs):
+                continue
+            first = np.flatnonzero(np.diff(arcs, prepend=arcs[0] - 1))
+            place = np.arange(len(arcs)) - np.repeat(first, np.diff([*first, len(arcs)]))
+            place[: first[1] if len(first) > 1 else None] += seen if arcs[0] == last else 0
+            last, seen = arcs[-1], int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(arcs), part, np.int32)), pa.array(place)], names=[*batch.schema.names, "__part", "__place"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("__part", T.IntegerType()), T.StructField("__place", T.LongType())]))
+
+
 def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", nodes: int = NODES, slack: float = 0.0) -> DataFrame:
     """``docs`` with ``shard`` and ``slot`` (gapless from 0 in each shard).
 
     With ``slack`` 0 shards have room for the rows and no more: the first ``n mod shards`` shards for one row
     more than the others. A larger one gives each room for ``1 + slack`` times its share, so fewer rows
-    move when shards or rows are added. Ids place rows on the ring; rows that repeat an id share a place
-    and follow each other, and null ids are one more id. Columns named ``shard`` or ``slot`` are replaced;
-    an empty table gives an empty table. Only the counts per virtual node reach the driver.
+    move when shards or rows are added. Ids place rows on the ring. Rows that repeat an id share a place and
+    follow each other by a hash of all their columns; equal rows follow each other as they come, so one id may
+    hold any share of the rows. Null ids are one more id. Texts may be of any length, but travel along: give the
+    columns that are wanted. Columns named ``shard`` or ``slot`` are replaced; an empty table gives an empty table.
+    The driver sees the row counts of virtual nodes, each by the partitions of the sorted table that it reaches into.
     """
     spark = docs.sparkSession
     circle = ring(spark, shards, nodes)
@@ -94,18 +118,34 @@ def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", nodes: int
         """Number of the first node at or after the place; past the last one comes the first."""
         return pd.Series(np.searchsorted(places, at.to_numpy()) % len(places)).astype("int32")
 
-    docs = docs.drop("shard", "slot")
-    at = _place(F.lit("row"), F.col(id_col))
-    counts = {r.arc: r["count"] for r in docs.select(arc_of(at).alias("arc")).groupBy("arc").count().collect()}
+    rows, restore = set_aside(docs.drop("shard", "slot"), id_col)
+    whole = F.xxhash64(*[c if t.find("map<") < 0 else F.to_json(c) for c, t in rows.dtypes])
+    placed = rows.withColumns({"__at": _place(F.lit("row"), F.col(id_col)), "__whole": whole, "__as_come": F.monotonically_increasing_id()})
+    placed = placed.withColumn("__arc", arc_of("__at"))
+    order = ["__arc", "__at", id_col, "__whole", "__as_come"]
+    placed = cut(ranked(placed.repartitionByRange(*order).sortWithinPartitions(*order)).drop(*order[1:2], *order[3:]), "ring-order")
+    # Sorted, so each partition adds at most one row beyond one for each arc.
+    pieces = sorted(placed.groupBy("__arc", "__part").agg(F.count("*").alias("n")).collect())
+    counts: dict[int, int] = {}
+    before = []
+    for arc, part, n in pieces:
+        before.append((arc, part, counts.get(arc, 0)))
+        counts[arc] = counts.get(arc, 0) + n
     n = sum(counts.values())
     room = [math.ceil((1 + slack) * n / shards)] * shards if slack else [n // shards + (s < n % shards) for s in range(shards)]
-    # At most two ranges an arc and one a shard: their number is fixed by the parameters.
-    ranges = spark.createDataFrame(flow(circle, counts, room), "__arc int, __first long, __end long, shard int, __slot long")
-    placed = docs.withColumn("__at", at).withColumn("__arc", arc_of("__at"))
-    placed = placed.withColumn("__rank", F.row_number().over(Window.partitionBy("__arc").orderBy("__at", id_col)).cast("long") - 1)
-    inside = (placed["__arc"] == ranges["__arc"]) & (placed["__rank"] >= ranges["__first"]) & (placed["__rank"] < ranges["__end"])
-    joined = placed.join(F.broadcast(ranges), inside)
-    return joined.select(*docs.columns, "shard", (F.col("__slot") + F.col("__rank") - F.col("__first")).alias("slot"))
+    # At most two ranges an arc and one a shard: their number is fixed by the parameters. Those of one arc and partition that overlap, by place there.
+    ranges: dict[int, list[tuple]] = {}
+    for arc, *found in flow(circle, counts, room):
+        ranges.setdefault(arc, []).append(found)
+    held = []
+    for (arc, part, at), (_, _, size) in zip(before, pieces, strict=True):
+        for first, end, shard, slot in ranges.get(arc, ()):
+            if first < at + size and end > at:
+                held.append((arc, part, max(first - at, 0), end - at, shard, slot + at - first))
+    table_ = spark.createDataFrame(held, "__arc int, __part int, __first long, __end long, __shard int, __slot long")
+    inside = (placed["__arc"] == table_["__arc"]) & (placed["__part"] == table_["__part"]) & (placed["__place"] >= table_["__first"]) & (placed["__place"] < table_["__end"])
+    joined = placed.join(F.broadcast(table_), inside).withColumn("__slot", F.col("__slot") + F.col("__place"))
+    return restore(joined.drop(table_["__arc"], table_["__part"]), "__shard", "__slot").withColumnsRenamed({"__shard": "shard", "__slot": "slot"})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

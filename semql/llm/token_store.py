@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from semql.llm import elias_fano
 from semql.llm.common import batch_of, kept_in_worker, shared_path, table, text_slices
-from semql.llm.tokens import IDS, WordIds
+from semql.llm.tokens import WordIds, id_type
 
 
 def default_tokenizer() -> str:
@@ -72,10 +72,11 @@ class Tokenizer:
         self.by_words = "\\\\s+" in flat and "[^\\\\s\\\\p{L}\\\\p{N}]+" in flat and "'behavior': 'Removed', 'invert': True" in flat
         self.special = [t["content"] for t in parsed["added_tokens"]]
         suffix = parsed["model"].get("end_of_word_suffix") or ""
-        self.ends = np.zeros(max(parsed["model"]["vocab"].values()) + 1, bool)
+        self.ends = np.zeros(max([-1, *self.library.get_vocab().values()]) + 1, bool)
         self.ends[[i for t, i in parsed["model"]["vocab"].items() if suffix and t.endswith(suffix)]] = True
-        self.known = WordIds(self._words, keep=1_000_000)
-        self.odd = WordIds(self._library, keep=100_000)
+        self.kind = id_type(len(self.ends))
+        self.known = WordIds(self._words, self.kind, keep=1_000_000)
+        self.odd = WordIds(self._library, self.kind, keep=100_000)
 
     def _library(self, words: list[str]) -> Iterator[list[int]]:
         return (e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False))
@@ -85,13 +86,13 @@ class Tokenizer:
         groups = [parts[i : i + _GROUP] for i in range(0, len(parts), _GROUP)]
         found: list[bytes] = []
         for group, ids in zip(groups, self._library([" ".join(g) for g in groups]), strict=True):
-            ids = np.asarray(ids, IDS)
+            ids = np.asarray(ids, self.kind)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(group) and cuts[-1] == len(ids):
-                data, bounds = ids.tobytes(), (IDS.itemsize * cuts).tolist()
+                data, bounds = ids.tobytes(), (self.kind.itemsize * cuts).tolist()
                 found += [data[a:b] for a, b in zip([0, *bounds], bounds)]
             else:
-                found += [np.asarray(x, IDS).tobytes() for x in self._library(group)]
+                found += [np.asarray(x, self.kind).tobytes() for x in self._library(group)]
         return found
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -143,21 +144,23 @@ def unpack_ids(data: bytes) -> list[int | None]:
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 1, chunk_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenise ``docs`` and write them to ``path`` in ascending ``id_col`` order.
 
-    Null texts are empty texts: they have the end id alone (or nothing). Null ids come first; rows
-    that repeat an id all stay, next to each other. Other columns aren't read. The tokenizer's file is
-    read on the driver and sent to the workers (a file of a few MB).
+    Null texts are empty texts: they have the end id alone (or nothing); texts of any length are encoded
+    whole. Null ids come first; rows that repeat an id all stay, next to each other, in the order of a
+    hash of their texts, and may lie in several partitions, so one id may hold any share of the rows. Rows
+    that are equal in both are told apart by their place in ``docs``. An empty table gives a store without
+    chunks. Other columns aren't read. The tokenizer's file is read on the driver and sent to the workers (a
+    file of a few MB).
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.monotonically_increasing_id().alias("place"), F.col(text_col).alias("text"))
     key = uuid.uuid4().hex
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = kept_in_worker(key, lambda: Tokenizer(spec.value))
-        wide = tokenizer.library.get_vocab_size() > 1 << 16
-        kind = np.dtype("<u4" if wide or (end_id or 0) >= 1 << 16 else "<u2")
+        kind = id_type(max(len(tokenizer.ends), (end_id or 0) + 1))
         end = np.asarray([] if end_id is None else [end_id], kind)
         part, seq, base, held, ids, n = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
@@ -178,7 +181,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
         if held:
             yield chunk()
 
-    chunks = rows.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(
+    chunks = rows.repartitionByRange(parts, "id", "th", "place").sortWithinPartitions("id", "th", "place").mapInArrow(
         run, "part int, seq int, n_docs long, n_tokens long, base long, width int, first_id long, last_id long, boundaries binary, doc_ids binary, ids binary"
     )
     chunks.write.parquet(path)
@@ -192,18 +195,19 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     ``ids_crc32`` (of the ids as little-endian 32-bit integers) and, if asked for, ``ids``.
 
     A document's length may change from one chunk to the next, but a chunk is whole in one row, so a
-    task holds one chunk at a time. What the driver sees is a total for each written partition.
+    task holds one chunk at a time. What the driver sees is a total for each written partition. Rows that repeat
+    an id are one row each; of a store without chunks the result is empty.
     """
     chunks = spark.read.parquet(path)
     totals = sorted((r.part, r.n) for r in chunks.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     before = dict(zip((p for p, _ in totals), np.cumsum([0, *(n for _, n in totals)]).tolist(), strict=False))
-    chunks = chunks.select("part", "base", "width", "boundaries", "doc_ids", "ids")
+    chunks = chunks.select("part", "n_docs", "base", "width", "boundaries", "doc_ids", "ids")
     schema = _DOCS.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else _DOCS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
-                ends = elias_fano.Reader(row["boundaries"]).all().astype(np.int64)
+                ends = elias_fano.Reader(row["boundaries"]).values(0, row["n_docs"] + 1).astype(np.int64)
                 ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
                 places = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
                 columns = [unpack_ids(row["doc_ids"]), before[row["part"]] + row["base"] + ends[:-1], np.diff(ends), [zlib.crc32(ids[a:b]) for a, b in places]]

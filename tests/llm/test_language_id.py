@@ -56,7 +56,7 @@ def test_model_is_kneser_ney(spark):
     rows = sample(20)
     model = li.train(docs(spark, rows).select("text", "lang"))
     plain = {lang: kneser_ney([t for _, t, x, _ in rows if x == lang], li.ORDER) for lang in model.langs}
-    symbols = sum(len(s) for _, s in plain.values()) + 1
+    symbols = len(set().union(*(s for _, s in plain.values()))) + 1
     assert model.symbols == symbols
     for word in ["the", "über", "zzz", "a", "thatdie"]:
         bits, codes = li.word_bits(model, [word])
@@ -67,6 +67,29 @@ def test_model_is_kneser_ney(spark):
             assert bits[0, i] == pytest.approx(want, rel=1e-3)
 
 
+@pytest.mark.parametrize("least_share", [0.0, 1e-3, 0.02, 0.5])
+def test_probabilities_sum_to_one(spark, least_share):
+    """Whatever is pruned: over all symbols and one that was never seen, after any context."""
+    rows = sample(20)
+    model = li.train(docs(spark, rows).select("text", "lang"), least_share=least_share)
+    letters = sorted({c for words in WORDS.values() for w in words for c in w})
+    assert model.symbols == len(letters) + 2
+    kept, every = (sum(len(v.values) for v in m.alpha) for m in (model, li.train(docs(spark, rows).select("text", "lang"), least_share=0.0)))
+    assert kept == every if not least_share else kept < every if least_share > 0.01 else kept <= every
+    for context in ["", "t", "th", "ü", "qq", "nich"]:
+        codes, starts = li.spelled([*(context + c for c in [*letters, "Ω"]), context])
+        p, ends = li.probabilities(model, codes, starts), np.append(starts[1:], len(codes)) - 1
+        # The last letter of each word but the last, which is the context alone with its end mark.
+        assert np.allclose(p[ends[:-1] - 1].sum(axis=0) + p[ends[-1]], 1, atol=1e-4)
+
+
+def test_calibration_takes_all_rows_in_any_order(spark):
+    train, apart = docs(spark, sample()).select("text", "lang"), docs(spark, sample(40, 1000)).select("text", "lang")
+    a, b = (li.calibrate(li.train(train.repartition(n), least_share=1e-3), apart.repartition(n)) for n in (1, 7))
+    assert a.curve == b.curve and (a.limits == b.limits).all() and np.isfinite(a.limits).all()
+    assert all((x.values == y.values).all() and (x.hashes == y.hashes).all() for x, y in zip(a.alpha + a.gamma, b.alpha + b.gamma, strict=True))
+
+
 def test_held_out_accuracy_and_rejection(spark):
     model = li.calibrate(li.train(docs(spark, sample()).select("text", "lang")), docs(spark, sample(40, 1000)).select("text", "lang"))
     test = sample(10, 5000) + [(9000, "zxqj vkwp qqxz " * 20, None, None), (9001, "12 34 !!", None, None), (9002, None, "en", None), (9003, "²the² 5³", None, None)]

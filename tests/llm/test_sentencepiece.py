@@ -54,6 +54,27 @@ def test_character_map(dummy, trim, escape):
         assert len(align) == len(data) + 1 and (align[1:] >= align[:-1]).all()
 
 
+def test_large_vocabulary(spark, codec, tmp_path):
+    """Pieces with ids above 65,536, which texts use."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    with open(sc.default_model(), "rb") as f:
+        model.ParseFromString(f.read())
+    for i in range(40_000):
+        model.pieces.add(piece=f"{sc.MARK}q{i}", score=-1.0 - i if i % 2 else -40_000.0 - i, type=1)
+    path = tmp_path / "wide.model"
+    path.write_bytes(model.SerializeToString())
+    library = spm.SentencePieceProcessor(model_file=str(path))
+    texts = ["the q39999 q39998", "q1 q12345 and the rest", None]
+    rows = docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    want = [library.encode(t or "") for t in texts]
+    assert [r.ids for r in sc.encode(rows, str(path)).orderBy("doc_id").collect()] == want
+    digest = sc.encode(rows, str(path), result="digest").orderBy("doc_id").collect()
+    assert [r.ids_sha256 for r in digest] == [hashlib.sha256(",".join(map(str, w)).encode()).hexdigest() for w in want]
+    assert max(max(w, default=0) for w in want) > 1 << 16
+
+
 def test_rows(spark, codec):
     out = sc.encode(docs(spark), sc.default_model(), result="digest").collect()
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()

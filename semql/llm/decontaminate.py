@@ -3,17 +3,21 @@
 A task cuts its documents into shards of bounded size. Words become numbers in the benchmark's own
 vocabulary, zero for any other word. A shard's suffix array holds, in word order, its suffixes whose
 first words are all in that vocabulary, as far as a window reaches: no other suffix can begin with a
-window. Every benchmark suffix is then found by binary search, all at once; the suffixes between its
-two bounds are its verbatim occurrences. They are extended word by word to the longest matches.
+window. Suffixes that share a whole window stand next to each other, in the order of the text: what follows a
+window tells which of them match longest, not whether they are found. Every benchmark suffix is found by
+binary search, all at once; the suffixes between its two bounds are its verbatim occurrences. They are
+extended word by word to the longest matches, with their places on both sides.
 
 The benchmark goes to the workers in blocks of bounded size, each of which is searched for in every
-shard, so no size of it has to fit a task; the text of the documents is read once and never shuffled.
+shard. A worker keeps a few of them and reads the others anew for each shard, and the driver makes one at a
+time, so neither holds a large benchmark; what a worker's disk must hold is its serialised blocks. The
+text of the documents is read once and never shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -176,16 +180,19 @@ class Found:
     n_words: np.ndarray
     n_hit: np.ndarray
     items: list[set]
+    n_matches: np.ndarray
+    longest: np.ndarray
     matches: list[list[tuple]]
 
 
-def search(texts: list[bytes], blocks: list[Block], with_matches: bool = False) -> Found:
-    """What a shard has of the benchmark, by text."""
+def search(texts: list[bytes], blocks: Iterable[Block], with_matches: bool = False, with_longest: bool = False) -> Found:
+    """What a shard has of the benchmark, by text. ``with_longest`` counts matches and keeps the length of the longest only."""
     words = words_of(texts)
     n, count = len(texts), np.diff(words.first)
     cover = np.zeros(len(words.hashes) + 1, np.int64)
     items: list[set] = [set() for _ in range(n)]
     matches: list[list[tuple]] = [[] for _ in range(n)]
+    n_matches, longest = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for block in blocks:
         if not len(block.keys):
             continue
@@ -197,11 +204,13 @@ def search(texts: list[bytes], blocks: list[Block], with_matches: bool = False)
         text = np.searchsorted(words.first, at, "right") - 1
         for w, t in np.unique(np.column_stack([which, text]), axis=0).tolist():
             items[t].update(block.item_ids[i] for i in set(block.item[block.occurs[block.occurs_at[w] : block.occurs_at[w + 1]]].tolist()))
-        if with_matches:
-            for found in _matches(words, block, numbers, which, at, text):
-                matches[found[0]].append(found[1:])
+        for t, *match in _matches(words, block, numbers, which, at, text) if with_matches or with_longest else ():
+            n_matches[t] += 1
+            longest[t] = max(longest[t], match[3])
+            if with_matches:
+                matches[t].append(tuple(match))
     hit = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
-    return Found(count, hit[words.first[1:]] - hit[words.first[:-1]], items, matches)
+    return Found(count, hit[words.first[1:]] - hit[words.first[:-1]], items, n_matches, longest, matches)
 
 
 def _matches(words: Words, block: Block, numbers: np.ndarray, which: np.ndarray, at: np.ndarray, text: np.ndarray, step: int = 4096) -> Iterator[tuple]:
@@ -244,36 +253,53 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window:
     return blocks
 
 
+#: Blocks that a worker keeps from shard to shard.
+KEPT_BLOCKS = 8
+
+
+def _held(blocks: list, kept: int) -> Iterator[Block]:
+    """Block by block; of all but the first ``kept`` a worker holds one at a time."""
+    for i, b in enumerate(blocks):
+        yield b.value
+        if i >= kept:
+            b.__dict__.pop("_value", None)  # a worker's copy; the next use reads it from disk again
+
+
 _OUT = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string())])
+_LONGEST = pa.schema([("n_matches", pa.int64()), ("longest_match", pa.int64())])
 _MATCH = pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_matches: bool = False, keep_text: bool = False,
-    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20, shard_bytes: int = 8 << 20,
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_matches: bool = False, with_longest: bool = False, keep_text: bool = False, text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20, shard_bytes: int = 8 << 20, kept_blocks: int = KEPT_BLOCKS,
 ) -> DataFrame:
     """``docs`` with what their texts share with the benchmark, without ``text_col`` unless ``keep_text``.
 
     Adds ``n_words``, ``n_hit`` (words inside any occurrence of ``window`` consecutive words of an item;
     an item of fewer words is one window), ``n_items``, ``items_sha256`` (over the ids of the items found,
-    sorted as strings and joined by commas), ``contaminated`` and, with ``with_matches``, ``matches``: the longest
-    verbatim matches, each with item, first words on both sides, length and byte span in the text.
+    sorted as strings and joined by commas), ``contaminated``, with ``with_longest`` ``n_matches`` and
+    ``longest_match`` (its words), and with ``with_matches`` ``matches``: the longest verbatim matches, each with item, first words on both sides, length and byte span in the text. A match is one
+    that goes on to neither side; where a text has an item's words several times, each is one.
 
-    Null and empty texts have no words and no hits; items without words have no windows; null item ids
+    Rows repeat as they do in the input; an empty table gives an empty table; a text larger than a shard is a shard of
+    its own. Null and empty texts have no words and no hits; items without words have no windows; null item ids
     read "null"; items that repeat an id count once. An empty benchmark marks nothing. Inputs named as
     an added column are replaced.
     """
     blocks = benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes)
-    out = _OUT.append(pa.field("matches", pa.list_(_MATCH))) if with_matches else _OUT
+    out = pa.schema([*_OUT, *(_LONGEST if with_longest else ()), *([pa.field("matches", pa.list_(_MATCH))] if with_matches else ())])
     kept = [c for c in docs.columns if c not in (*out.names, "contaminated") and (keep_text or c != text_col)]
     name = text_col if keep_text else "__text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, name, shard_bytes):
-            found = search(byte_texts(batch.column(name)), [b.value for b in blocks], with_matches)
+            found = search(byte_texts(batch.column(name)), _held(blocks, kept_blocks), with_matches, with_longest)
             names = [sorted({"null" if i is None else str(i) for i in s}) for s in found.items]
             digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
             columns = [found.n_words, found.n_hit, [len(x) for x in names], digests]
+            if with_longest:
+                columns += [found.n_matches, found.longest]
             if with_matches:
                 keys = [f.name for f in _MATCH]
                 columns.append([[dict(zip(keys, (str(m[0]), *m[1:]), strict=True)) for m in row] for row in found.matches])
@@ -281,8 +307,8 @@ def contamination(
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *new.columns], names=[*kept, *out.names])
 
     rows = docs.select(*kept) if keep_text else docs.select(*kept, docs[text_col].alias("__text"))
-    types = ["long", "long", "long", "string", "array<struct<item:string,item_word:long,doc_word:long,n_words:long,begin:long,end:long>>"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema), *(f"{n} {t}" for n, t in zip(out.names, types, strict=False))])
+    types = {"items_sha256": "string", "matches": "array<struct<item:string,item_word:long,doc_word:long,n_words:long,begin:long,end:long>>"}
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema), *(f"{n} {types.get(n, 'long')}" for n in out.names)])
     return rows.mapInArrow(run, schema).withColumn("contaminated", F.col("n_hit") > 0)
 
 
@@ -294,26 +320,28 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), with_longest=True)
 
 
 _SPLIT = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 SQL = f"""
-WITH item AS (SELECT item_id, {_SPLIT} AS w FROM benchmark),
-item_window AS (SELECT DISTINCT item_id, m, array_to_string(w[p : p + m - 1], ' ') AS win
-                FROM (SELECT item_id, w, least({WINDOW}, len(w)) AS m, unnest(range(1, len(w) - least({WINDOW}, len(w)) + 2)) AS p
-                      FROM item WHERE len(w) > 0)),
+WITH item AS (SELECT row_number() OVER () AS item, item_id, {_SPLIT} AS w FROM benchmark),
+item_place AS (SELECT item, item_id, m, p, array_to_string(w[p : p + m - 1], ' ') AS win
+               FROM (SELECT item, item_id, w, least({WINDOW}, len(w)) AS m, unnest(range(1, len(w) - least({WINDOW}, len(w)) + 2)) AS p
+                     FROM item WHERE len(w) > 0)),
 doc AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
 doc_window AS (SELECT doc_id, m, p, array_to_string(w[p : p + m - 1], ' ') AS win
                FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p
-                     FROM doc, (SELECT DISTINCT m FROM item_window) WHERE len(w) >= m)),
-found AS (SELECT doc_id, m, p, item_id FROM doc_window JOIN item_window USING (m, win)),
+                     FROM doc, (SELECT DISTINCT m FROM item_place) WHERE len(w) >= m)),
+found AS (SELECT doc_id, m, d.p, item, item_id, d.p - i.p AS ahead FROM doc_window d JOIN item_place i USING (m, win)),
 hit AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS word FROM (SELECT DISTINCT doc_id, m, p FROM found)) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
-          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id)
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id),
+run AS (SELECT doc_id, m, item, ahead, p - row_number() OVER (PARTITION BY doc_id, item, ahead ORDER BY p) AS run FROM found),
+longest AS (SELECT doc_id, count(*) AS n_matches, max(n + m - 1) AS longest_match FROM (SELECT doc_id, m, count(*) AS n FROM run GROUP BY doc_id, m, item, ahead, run) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM doc d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_matches, 0) AS n_matches, coalesce(longest_match, 0) AS longest_match
+FROM doc d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id LEFT JOIN longest l ON l.doc_id = d.doc_id
 """

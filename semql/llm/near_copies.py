@@ -1,85 +1,105 @@
-"""Near-dedup by the exact Jaccard similarity of word shingles.
+"""Near-dedup by SimHash fingerprints, and all other pairs by the prefixes of their shingle sets.
 
 Texts are linked if the sets of their shingles have a Jaccard similarity of ``similarity`` or more, and
-texts that links connect are one group. All such pairs are found, by prefixes: with the shingles of every
-set in one and the same order, two sets this similar share a shingle among the first
-``n - ceil(similarity * n) + 1`` of each. The order puts common shingles last, by counts of hash classes;
-any order finds the same pairs, and this one keeps passages that many texts hold out of the keys.
+texts that links connect are one group. Links come from three searches, each of which leaves out what the ones
+before have joined; every pair is compared shingle by shingle before it is a link:
 
-Sets that share a key are first compared with the least of them, which joins large groups by as many
-pairs as they have keys. Only sets that are still in different groups are then compared with each other.
+    1  fingerprints of the shingles within two bits, by Golay keys, as in ``simhash``
+    2  sets that share a prefix shingle, each with the least set that has it
+    3  all sets that share a prefix shingle and are still in different groups
+
+Fingerprints alone can't give all links: texts of similarity 0.8 differ in ten of 64 bits on average, and no Golay key
+of three segments that stands so many errors tells texts apart. Prefixes can: with the shingles of every set in one
+and the same order, two sets this similar share a shingle among the first ``n - ceil(similarity * n) + 1`` of each.
+The order puts common shingles last, by counts of hash classes; any order finds the same pairs, and this one keeps
+passages that many texts hold out of the keys.
+
+Pairs of searches 2 and 3 must pass a sketch first, the parities of the numbers of shingles in 256 hash classes: a
+shingle that only one of two sets has flips one bit, so sets differ in no fewer shingles than their sketches in bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semql.llm.common import batch_of, byte_texts, cut, same, text_slices
+from semql.llm import simhash
+from semql.llm.common import byte_texts, cut, same, text_slices
 from semql.llm.components import components
-from semql.llm.simhash import shingle_hashes
+from semql.llm.simhash import majority, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 _CLASSES = 1 << 16
+#: 64-bit words of a sketch.
+_WIDE = 4
+_SKETCH = [f"p{i}" for i in range(_WIDE)]
+
 
+def _hashes(texts: pa.Array, words_each: int) -> list[np.ndarray]:
+    return [np.asarray(shingle_hashes(t, words_each), np.uint64) for t in byte_texts(texts)]
 
-def _sets(texts: pa.Array, words_each: int) -> tuple[list[np.ndarray], np.ndarray]:
+
+def _sets(hashes: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """The shingles of each text as ascending hashes, and a hash of those."""
     from xxhash import xxh64_intdigest as digest
 
-    sets = [np.unique(np.asarray(shingle_hashes(t, words_each), np.uint64)) for t in byte_texts(texts)]
+    sets = [np.unique(h) for h in hashes]
     return [s.view(np.int64) for s in sets], np.asarray([digest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
 
 
-def shingle_ids(docs: DataFrame, id_col: str, text_col: str, words_each: int) -> DataFrame:
-    """``id``, ``th`` (a hash of the text) and ``sid``, a hash of the shingles, of each row."""
+def hashed(docs: DataFrame, id_col: str, text_col: str, words_each: int) -> DataFrame:
+    """``id``, ``th`` (a hash of the text), ``sid``, a hash of the shingles, and ``fp``, their fingerprint, of each row of
+    ``docs``; and, in rows without these, how many shingles ``n`` of each ``class`` of hashes a task has met."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    names = ["id", "th", "sid", "fp", "class", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, kind = np.zeros(_CLASSES, np.int64), pa.null()
         for batch in text_slices(batches):
-            _, sids = _sets(batch.column("text"), words_each)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(sids)], names=["id", "th", "sid"])
-
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, th long, sid long")
-
+            hashes = _hashes(batch.column("text"), words_each)
+            sets, sids = _sets(hashes)
+            total += np.bincount(np.concatenate(sets) & (_CLASSES - 1), minlength=_CLASSES)
+            kind, none = batch.column("id").type, pa.nulls(len(sids), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(sids), pa.array([majority(h) for h in hashes], pa.int64()), none, none], names=names)
+        if met := np.flatnonzero(total).tolist():
+            none = pa.nulls(len(met), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(met), kind), none, none, none, pa.array(met, pa.int64()), pa.array(total[met])], names=names)
 
-def shingle_sets(texts: DataFrame, words_each: int) -> DataFrame:
-    """``sid`` and ``shingles`` of each row of ``texts(text)``."""
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, th long, sid long, fp long, class long, n long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            sets, sids = _sets(batch.column("text"), words_each)
-            ends = np.cumsum([0, *map(len, sets)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([pa.array(sids), lists], names=["sid", "shingles"])
 
-    return texts.mapInArrow(run, "sid long, shingles array<long>")
+def class_counts(found: DataFrame) -> np.ndarray:
+    counts = np.zeros(_CLASSES, np.int64)
+    for r in found.where(F.col("class").isNotNull()).groupBy("class").agg(F.sum("n").alias("n")).collect():  # no more than _CLASSES rows
+        counts[r["class"]] = r["n"]
+    return counts
 
 
-_COUNTS = pa.schema([("class", pa.int64()), ("n", pa.int64())])
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """The parities of each set's numbers of shingles by class of hashes, as ``_WIDE`` integers."""
+    bits = 64 * _WIDE
+    at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]) * bits + ((np.concatenate(sets) >> 32) & (bits - 1))
+    odd = (np.bincount(at, minlength=len(sets) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(len(sets), _WIDE)
 
 
-def class_counts(texts: DataFrame, words_each: int) -> np.ndarray:
-    """How many shingles fall into each of ``_CLASSES`` classes of hashes."""
+def shingle_sets(texts: DataFrame, words_each: int) -> DataFrame:
+    """``sid``, ``shingles`` and sketch of each row of ``texts(text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_CLASSES, np.int64)
         for batch in text_slices(batches):
-            total += np.bincount(np.concatenate(_sets(batch.column("text"), words_each)[0]) & (_CLASSES - 1), minlength=_CLASSES)
-        yield batch_of(_COUNTS, np.flatnonzero(total), total[total > 0])
-
-    counts = np.zeros(_CLASSES, np.int64)
-    for r in texts.mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():  # no more than _CLASSES rows
-        counts[r["class"]] = r["n"]
-    return counts
-
+            sets, sids = _sets(_hashes(batch.column("text"), words_each))
+            ends, found = np.cumsum([0, *map(len, sets)]), sketches(sets)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([pa.array(sids), lists, *(pa.array(found[:, i].copy()) for i in range(_WIDE))], names=["sid", "shingles", *_SKETCH])
 
-_KEYS = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("place", pa.int64())])
+    return texts.mapInArrow(run, ", ".join(["sid long", "shingles array<long>", *(f"{p} long" for p in _SKETCH)]))
 
 
 def prefixes(texts: DataFrame, words_each: int, counts: np.ndarray, share: Fraction) -> DataFrame:
@@ -88,16 +108,17 @@ def prefixes(texts: DataFrame, words_each: int, counts: np.ndarray, share: Fract
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            sets, sids = _sets(batch.column("text"), words_each)
+            sets, sids = _sets(_hashes(batch.column("text"), words_each))
             sizes, hashes = np.asarray([len(s) for s in sets], np.int64), np.concatenate(sets)
             row = np.repeat(np.arange(len(sizes)), sizes)
             order = np.lexsort((hashes, kept.value[hashes & (_CLASSES - 1)], row))
             place = np.arange(len(hashes)) - (np.cumsum(sizes) - sizes)[row]
             first = place < (sizes + (-share.numerator * sizes // share.denominator) + 1)[row]
             row, found = row[first], hashes[order][first]
-            yield batch_of(_KEYS, found, sids[row], sizes[row], place[first])
+            columns = [pa.array(found), pa.array(sids[row]), pa.array(sizes[row].astype(np.int32)), pa.array(place[first].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "sid", "n", "place"])
 
-    return texts.mapInArrow(run, "key long, sid long, n long, place long")
+    return texts.mapInArrow(run, "key long, sid long, n int, place int")
 
 
 def _held_twice(keyed: DataFrame) -> DataFrame:
@@ -122,51 +143,72 @@ def _similar(common: Column, a: Column, b: Column, share: Fraction) -> Column:
 
 
 def _possible(share: Fraction) -> Column:
-    """Whether the places of a shingle in both sets leave room enough; the first common shingle of a similar pair does."""
-    return _similar(F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")), F.col("n"), F.col("n2"), share)
+    """Whether two rows with one key may be of similar sets: the places of the key leave room enough, as they do for
+    the first shingle that such a pair shares, and the sketches differ in no more bits than the sets may in shingles."""
+    n, n2 = F.col("n").cast("long"), F.col("n2").cast("long")
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}2"))) for p in _SKETCH))
+    near = (share.numerator + share.denominator) * apart <= (share.denominator - share.numerator) * (n + n2)
+    return _similar(F.least(n - F.col("place"), n2 - F.col("place2")), n, n2, share) & near
 
 
 def _links(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets are similar enough."""
     pairs = cut(pairs.distinct(), "pairs")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return cut(both.where(_similar(common, F.size("x"), F.size("y"), share)).select("a", "b"), "similar")
 
 
-def groups(docs: DataFrame, least: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``sid`` and ``root``, the least sid of its group, of all sets that are linked to another; ``least`` names a row of each set."""
+def _by_fingerprint(fps: DataFrame) -> DataFrame:
+    """Pairs of the sets of ``fps(sid, fp)``: each set with the least one of its fingerprint, and those of fingerprints within two bits."""
+    first = cut(fps.groupBy("fp").agg(F.min("sid").alias("first")), "fingerprints")
+    equal = fps.join(first, "fp").where(F.col("sid") != F.col("first")).select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    near = simhash.links(first).toDF("fp", "other").join(first, "fp").select(F.col("first").alias("a"), F.col("other").alias("fp")).join(first, "fp")
+    return equal.union(near.select("a", F.col("first").alias("b")))
+
+
+def groups(docs: DataFrame, found: DataFrame, least: DataFrame, id_col: str, text_col: str, words_each: int, similarity: float) -> DataFrame:
+    """``sid`` and ``root``, the least sid of its group, of all sets that are linked to another; ``found`` has the hashes
+    of all texts, ``least`` names a row of each set."""
     share, texts = Fraction(str(similarity)), docs.select(F.col(text_col).alias("text"))
-    keyed = cut(_held_twice(prefixes(texts, words_each, class_counts(texts, words_each), share)), "keys")
-    first = F.min(F.struct("sid", "n", "place"))
-    shared = keyed.groupBy("key").agg(first.alias("first"), F.max("sid").alias("last")).where(F.col("first.sid") != F.col("last"))
-    shared = shared.select("key", F.col("first.sid").alias("sid2"), F.col("first.n").alias("n2"), F.col("first.place").alias("place2"))
-    keyed = cut(keyed.join(shared, "key"), "shared-keys")
-    named = least.join(keyed.select("sid").distinct(), "sid", "left_semi").select(F.col("least.id").alias("__id"), F.col("least.th").alias("__th"))
-    wanted = docs.join(named, same(docs[id_col], F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left_semi")
+    keyed = cut(_held_twice(cut(prefixes(texts, words_each, class_counts(found), share), "prefixes")), "keys")
+    shared = keyed.groupBy("key").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where(F.col("first") != F.col("last"))
+    keyed = cut(keyed.join(shared.select("key"), "key"), "shared-keys")
+    # Only sets with a shared prefix shingle can be similar to another.
+    named = cut(least.join(keyed.select("sid").distinct(), "sid", "left_semi"), "named")
+    rows = named.select(F.col("least.id").alias("__id"), F.col("least.th").alias("__th"))
+    wanted = docs.join(rows, same(docs[id_col], F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left_semi")
     sets = cut(shingle_sets(wanted.select(F.col(text_col).alias("text")), words_each).dropDuplicates(["sid"]), "sets")
 
-    found = _links(keyed.where((F.col("sid") != F.col("sid2")) & _possible(share)).select(F.col("sid2").alias("a"), F.col("sid").alias("b")), sets, share)
-    roots = components(found).select(F.col("node").alias("sid"), "root")
-    rooted = cut(keyed.select("key", "sid", "n", "place").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted-keys")
-    other = rooted.toDF(*(c if c == "key" else f"{c}2" for c in rooted.columns))
-    apart = (F.col("sid") < F.col("sid2")) & (F.col("root") != F.col("root2")) & _possible(share)
-    more = _links(rooted.join(other, "key").where(apart).select(F.col("sid").alias("a"), F.col("sid2").alias("b")), sets, share)
-    if more.isEmpty():
-        return roots
-    return components(found.union(more)).select(F.col("node").alias("sid"), "root")
+    def rooted(keyed: DataFrame, links: DataFrame) -> DataFrame:
+        roots = components(links).select(F.col("node").alias("sid"), "root")
+        return cut(keyed.drop("root").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted-keys")
+
+    links = _links(_by_fingerprint(named.select("sid", "fp")), sets, share)
+    keyed = rooted(keyed.join(sets.select("sid", *_SKETCH), "sid"), links)
+    columns = ["sid", "n", "place", "root", *_SKETCH]
+    other = lambda rows: rows.toDF(*(c if c == "key" else f"{c}2" for c in rows.columns))
+    apart, pair = (F.col("root") != F.col("root2")) & _possible(share), [F.col("sid2").alias("a"), F.col("sid").alias("b")]
+    first = keyed.groupBy("key").agg(F.min(F.struct(*columns)).alias("f")).select("key", *[F.col(f"f.{c}") for c in columns])
+    links = links.union(_links(keyed.join(other(first), "key").where(apart).select(*pair), sets, share))
+    keyed = rooted(keyed, links).select("key", *columns)
+    more = _links(keyed.join(other(keyed), "key").where((F.col("sid2") < F.col("sid")) & apart).select(*pair), sets, share)
+    return components(links.union(more)).select(F.col("node").alias("sid"), "root")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each group: the one of the smallest id (a null id first).
 
-    Texts without words (null, empty, white space) are one group. Rows that share id and text are one
-    document and stay together; of different texts under the smallest id one stays. Texts are read
-    several times rather than their shingles written.
+    Texts without words (null, empty, white space) are one group; texts with fewer words than a shingle are one
+    shingle. Rows that share id and text are one document and stay together; of different texts under the smallest id
+    one stays. A similarity equal to the limit links. Long texts count with all their shingles; a set of them and a pair
+    of sets are the largest things that a task holds. An empty table gives an empty table. Texts are read several
+    times rather than their shingles written.
     """
-    rows = shingle_ids(docs, id_col, text_col, words_each)
-    least = cut(rows.groupBy("sid").agg(F.min(F.struct("id", "th")).alias("least")), "least")
-    found = groups(docs, least, id_col, text_col, words_each, similarity)
-    rooted = least.join(found, "sid", "left").groupBy(F.coalesce("root", "sid")).agg(F.min("least").alias("first"))
+    found = cut(hashed(docs, id_col, text_col, words_each), "hashed")
+    rows = found.where(F.col("sid").isNotNull())
+    least = cut(rows.groupBy("sid").agg(F.min(F.struct("id", "th")).alias("least"), F.min("fp").alias("fp")), "least")
+    linked = groups(docs, found, least, id_col, text_col, words_each, similarity)
+    rooted = least.join(linked, "sid", "left").groupBy(F.coalesce("root", "sid")).agg(F.min("least").alias("first"))
     first = rooted.select(F.col("first.id").alias("__id"), F.col("first.th").alias("__th"))
     return docs.join(first, same(docs[id_col], F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left_semi")

@@ -53,6 +53,7 @@ def test_shards_and_blocks_against_brute_force():
                 assert words(dict(items)[item])[p : p + n] == words(t)[q : q + n] == words(t.encode()[a:b].decode())
                 best[item] = max(best.get(item, 0), n)
             assert best == {i: longest(t, dict(items)[i]) for i in found.items[k]}
+            assert (found.n_matches[k], found.longest[k]) == (len(found.matches[k]), max(best.values(), default=0))
 
 
 def test_hashes_don_t_depend_on_place():
@@ -67,9 +68,10 @@ def bench(spark, items=ITEMS):
     return spark.createDataFrame(items, "item_id long, text string")
 
 
-@pytest.mark.parametrize("block_bytes", [1, 1 << 20])
-def test_edges(spark, block_bytes):
-    got = dc.contamination(docs(spark), bench(spark), block_bytes=block_bytes, shard_bytes=500).collect()
+@pytest.mark.parametrize("block_bytes,kept", [(1, 1), (1, 8), (1 << 20, 8)])
+def test_edges(spark, block_bytes, kept):
+    """Also with more blocks than a worker keeps."""
+    got = dc.contamination(docs(spark), bench(spark), block_bytes=block_bytes, shard_bytes=500, kept_blocks=kept).collect()
     want = []
     for i, t, *_ in ROWS:
         n, hit, items = brute(t, ITEMS)
@@ -98,5 +100,7 @@ def test_sql_agrees_with_brute_force():
     rows, items = [(k, t) for k, (_, t, *_) in enumerate(ROWS)], [(k, t) for k, (_, t) in enumerate(ITEMS)]
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
-    got = {r[0]: r[1:4] for r in con.execute(dc.SQL).fetchall()}
-    assert got == {k: (n, hit, len(i)) for k, (n, hit, i) in ((k, brute(t, items)) for k, t in rows)}
+    found = con.execute(dc.SQL).fetchall()
+    assert {r[0]: r[1:4] for r in found} == {k: (n, hit, len(i)) for k, (n, hit, i) in ((k, brute(t, items)) for k, t in rows)}
+    ours = dc.search([(t or "").encode() for _, t in rows], [dc.Block([i for i, _ in items], [(t or "").encode() for _, t in items], 10)], with_longest=True)
+    assert {r[0]: r[6:8] for r in found} == {k: (ours.n_matches[k], ours.longest[k]) for k, _ in rows}

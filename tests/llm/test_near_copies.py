@@ -48,6 +48,17 @@ def test_pairs_against_brute_force(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, rows, "").collect()) == want
 
 
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(2**63), 2**63 - 1, 400)
+    sets = [np.unique(np.concatenate([base[: int(rng.integers(0, 400))], rng.integers(-(2**63), 2**63 - 1, int(rng.integers(0, 90)))])) for _ in range(60)]
+    found = near_copies.sketches([*sets, np.zeros(0, np.int64)])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            bits = sum((int(x) ^ int(y)).bit_count() if (x ^ y) >= 0 else ((int(x) ^ int(y)) & (2**64 - 1)).bit_count() for x, y in zip(found[i], found[j], strict=True))
+            assert bits <= len(np.setxor1d(a, b)) and (bits > 0 or i == j or len(np.setxor1d(a, b)) < 40)
+
+
 def test_limit_is_exact(spark):
     """Of 20 shingles in all 16 are shared: 0.8. One less is not enough."""
     words = [f"w{i}" for i in range(30)]

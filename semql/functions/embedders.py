@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import time
 from collections.abc import Iterator
@@ -123,18 +124,23 @@ class OnnxEmbedder:
             self._open = (onnxruntime.InferenceSession(self.model_path), tokenizer)
         return self._open
 
-    def embed(self, texts: list[str]) -> list[np.ndarray | None]:
+    def embed(self, texts: list[str], most: int = 64) -> list[np.ndarray | None]:
+        """Texts of equal length in tokens go through the model together, at most ``most`` at once, so none is padded."""
         session, tokenizer = self._session()
-        names = {i.name for i in session.get_inputs()}
-        found: list[np.ndarray | None] = []
-        for text in texts:
-            if text is None or not text.strip():
-                found.append(None)
-                continue
-            code = tokenizer.encode(text.strip())
-            feeds = {"input_ids": code.ids, "attention_mask": code.attention_mask, "token_type_ids": code.type_ids}
-            out = session.run(None, {k: np.asarray([v], np.int64) for k, v in feeds.items() if k in names})[0]
-            found.append(_unit(pooled(out, self.dim)))
+        names, found = {i.name for i in session.get_inputs()}, [None] * len(texts)
+        known = [i for i, t in enumerate(texts) if t is not None and t.strip()]
+        codes = dict(zip(known, tokenizer.encode_batch([texts[i].strip() for i in known]), strict=True))
+        known.sort(key=lambda i: len(codes[i].ids))
+        for _, group in itertools.groupby(known, key=lambda i: len(codes[i].ids)):
+            group = list(group)
+            for at in range(0, len(group), most):
+                part = group[at : at + most]
+                feeds = {"input_ids": [codes[i].ids for i in part], "attention_mask": [codes[i].attention_mask for i in part], "token_type_ids": [codes[i].type_ids for i in part]}
+                out = session.run(None, {k: np.asarray(v, np.int64) for k, v in feeds.items() if k in names})[0]
+                if out.shape[:1] != (len(part),) and len(part) > 1:
+                    raise ValueError(f"semql: unexpected model output of shape {out.shape} for {len(part)} texts")
+                for i, row in zip(part, out if len(part) > 1 else [out], strict=True):
+                    found[i] = _unit(pooled(row[None] if len(part) > 1 else row, self.dim))
         return found
 
 
@@ -164,15 +170,19 @@ def pooled(out: np.ndarray, dim: int) -> np.ndarray:
     raise ValueError(f"semql: unexpected model output of shape {out.shape} for dimension {dim}")
 
 
-def embed_column(text: Column, embedder: Embedder) -> Column:
-    """Vectors of a text column; null for null, empty and blank texts. One Arrow batch at a time."""
+def embed_udf(embedder: Embedder):
+    """Vectors of texts as a function of a column; null for null, empty and blank texts. One Arrow batch at a time."""
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(embedder.embed(texts.tolist()), index=texts.index, dtype=object)
 
-    return vectors(text.cast("string"))
+    return vectors
+
+
+def embed_column(text: Column, embedder: Embedder) -> Column:
+    return embed_udf(embedder)(text.cast("string"))
 
 
 def embed_one(text: str | None, embedder: Embedder, metrics=None) -> list[float] | None:

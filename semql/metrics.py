@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import time
 from collections import deque
 from dataclasses import dataclass, field
 
+from pyspark.sql import Observation
+
 LOG_SIZE, LOG_TEXT = 8_000, 80
 
 
@@ -21,20 +24,38 @@ class Metrics:
     candidates: int = 0
     rows_matched: int = 0
     log: deque = field(default_factory=lambda: deque(maxlen=LOG_SIZE), repr=False)
+    _open: list[tuple[Observation, float]] = field(default_factory=list, repr=False)
 
     def embedded(self, text: str, ms: float) -> None:
         self.embed_calls += 1
         self.embed_ms += ms
         self.log.append({"text": text[:LOG_TEXT], "ms": round(ms, 3)})
 
-    def searched(self, ms: float, candidates: int = 0, rows: int = 0) -> None:
+    def searched(self, observation: Observation | None = None) -> None:
+        """A search was planned. What its ``observation`` counts is added once it has run, however often it runs later."""
         self.search_ops += 1
+        if observation is not None:
+            self._open = [*self._open, (observation, time.perf_counter())][-LOG_SIZE:]
+
+    def settle(self) -> None:
+        """Take in the searches that have run; others are waited for."""
+        left = []
+        for observation, began in self._open:
+            if observation._jo is None or not observation._jo.future().isCompleted():
+                left.append((observation, began))
+                continue
+            found = observation.get
+            self.candidates += found["candidates"]
+            self.rows_matched += found["rows_matched"]
+        self._open = left
+
+    def ran(self, ms: float) -> None:
+        """Time that running searches took."""
         self.search_ms += ms
-        self.candidates += candidates
-        self.rows_matched += rows
 
     def snapshot(self) -> dict:
-        return {k: round(v, 3) if isinstance(v, float) else v for k, v in self.__dict__.items() if k != "log"}
+        self.settle()
+        return {k: round(v, 3) if isinstance(v, float) else v for k, v in self.__dict__.items() if k not in ("log", "_open")}
 
     def as_json(self) -> str:
         return json.dumps(self.snapshot())

@@ -7,7 +7,6 @@ cap. Predicates put on the result afterwards see only what the cap has left.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -54,6 +53,8 @@ class VectorTable:
     threshold: float = THRESHOLD
     cap: int = CAP
     metrics: Metrics = field(default_factory=Metrics)
+    #: Whether results count their rows for ``metrics`` when they run.
+    counted: bool = False
 
     def at(self, **changes) -> VectorTable:
         return replace(self, **changes)
@@ -77,13 +78,15 @@ class VectorTable:
             return embed_one(parsed.query, self.embedder, self.metrics), parsed
         return [float(x) for x in match.query], MatchQuery("", match.mode, match.candidates)
 
-    def scan(self, *matches: Match, where: Column | None = None, observation: Observation | None = None) -> DataFrame:
+    def scan(self, *matches: Match, where: Column | None = None, join: tuple[DataFrame, Column | str | list[str]] | None = None, observation: Observation | None = None) -> DataFrame:
         """All columns and a score for each vector column, null where there is no MATCH on it.
 
-        An ``observation`` gets ``candidates`` (rows scored, or left by the cap) and ``rows_matched`` once the result has run.
+        ``join`` names other rows and what joins them: like ``where`` it holds before the search, so no cap hides rows
+        that the join would keep. An ``observation`` gets ``candidates`` (rows scored, or left by the cap) and
+        ``rows_matched`` once the result has run.
         """
-        began = time.perf_counter()
         rows = self.df if where is None else self.df.where(where)
+        rows = rows if join is None else rows.join(*join)
         scored: dict[str, Column] = {}
         parsed = MatchQuery("")
         for match in matches:
@@ -93,16 +96,17 @@ class VectorTable:
             scored[match.column] = vectors.dot(F.col(f"`{self.embeddings[match.column]}`"), vectors.literal(vector))
         rows = self._scores(rows, scored)
         names = [self.score_name(c) for c in scored]
-        if len(matches) == 1 and where is None and parsed.mode == APPROXIMATE:
+        if len(matches) == 1 and where is None and join is None and parsed.mode == APPROXIMATE:
             # TakeOrderedAndProject: each task keeps its best rows; rows without a vector come last and fail the threshold.
             rows = rows.orderBy(F.desc_nulls_last(names[0]), self.rowid).limit(parsed.candidates or self.cap)
+        if names:
+            observation = observation or (Observation() if self.counted else None)
+            self.metrics.searched(observation if self.counted else None)
         if names and observation is not None:
             passed = reduce(lambda a, b: a & b, (F.col(f"`{n}`") >= self.threshold for n in names))
             rows = rows.observe(observation, F.count(f"`{names[0]}`").alias("candidates"), F.count(F.when(passed, 1)).alias("rows_matched"))
         for name in names:
             rows = rows.where(F.col(f"`{name}`") >= self.threshold)
-        if matches:
-            self.metrics.searched((time.perf_counter() - began) * 1000)
         return rows
 
     def _scores(self, rows: DataFrame, scored: dict[str, Column]) -> DataFrame:

@@ -1,9 +1,10 @@
 """Tables with vector columns as Parquet snapshots.
 
 A table is a list of segments, directories of Parquet files that never change, and a small manifest per
-version that names them. Inserting writes one new segment; updating and deleting rewrite the table's rows
-into a new one. A commit writes the next manifest, so readers keep the version that they opened. Paths may be
-on any file system that Spark reads; there is one writer at a time.
+version that names them. Inserting writes one new segment; updating and deleting rewrite the segments that they touch
+into a new one; compacting joins segments, and what no version in use names is removed. A commit writes the next
+manifest, so readers keep the version that they opened. Paths may be on any file system that Spark reads; there is one
+writer at a time.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ import json
 import re
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,7 +88,7 @@ class Database:
         self.spark, self.root, self.embedder = spark, root.rstrip("/"), embedder or NullEmbedder()
         self.threshold, self.cap, self.metrics = threshold, cap, Metrics()
         self._stack: list[tuple[str | None, dict[str, Manifest]]] = []
-        self._index: tuple | None = None
+        self._indexes: dict[tuple[str, str], dict] = {}
 
     # Small files, by Hadoop's file system of the root.
     def _fs(self, path: str):
@@ -117,6 +119,14 @@ class Database:
         finally:
             stream.close()
 
+    def _exists(self, path: str) -> bool:
+        fs, p = self._fs(path)
+        return fs.exists(p)
+
+    def _delete(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
+
     # Manifests.
     def _versions(self, name: str) -> list[str]:
         return [v for v in self._list(f"{self.root}/{name}/_manifests") if v.endswith(".json")]
@@ -228,27 +238,37 @@ class Database:
         ours, theirs = self.embedder, manifest
         if ours.dim and theirs.dim and (ours.dim != theirs.dim or (ours.model_id and theirs.model_id and ours.model_id != theirs.model_id)):
             raise StoreError(
-                f"table built with model '{theirs.model_id}' (dim {theirs.dim}), current model is '{ours.model_id}' (dim {ours.dim}) — reindex required"
+                f"the vectors of {name} are of '{theirs.model_id}' with {theirs.dim} dimensions and can't be searched with '{ours.model_id}' of {ours.dim}: reindex required"
             )
         names = {v: f"_emb_{v}" for v in manifest.vectors()}
-        return VectorTable(self.rows(name), names, self.embedder, ROWID, self.threshold, self.cap, self.metrics)
+        return VectorTable(self.rows(name), names, self.embedder, ROWID, self.threshold, self.cap, self.metrics, counted=True)
 
     def search_index(self, name: str, column: str, **options) -> tuple[CellIndex, DataFrame]:
-        """The approximate index of a column, and the rows by cell, pruned by it; built at the first search after a change."""
+        """The approximate index of a column, and the rows by cell, pruned by it.
+
+        It is built at the first search after a change and kept beside the table, so that later sessions find it; the copy
+        that it replaces is removed.
+        """
         manifest = self._manifest(name)
-        key = (name, column, *manifest.segments)
-        if self._index is None or self._index[0] != key:
+        note, found = f"{self.root}/{name}/_index/{column}.json", self._indexes.get((name, column))
+        if found is None and self._exists(note):
+            found = json.loads(self._read(note))
+        if found is None or found["segments"] != manifest.segments or found["options"] != repr(sorted(options.items())):
             began = time.perf_counter()
             rows = self.rows(name).where(F.col(f"_emb_{column}").isNotNull())
             index = fit(rows, f"_emb_{column}", ROWID, **options)
             path = f"{self.root}/{name}/_index/{uuid.uuid4().hex}"
             index.assign(rows.select(ROWID, f"_emb_{column}"), f"_emb_{column}").write.partitionBy("cell").parquet(path)
-            self._index = (key, index, path)
+            old, found = found, {"segments": manifest.segments, "options": repr(sorted(options.items())), "path": path, "probes": index.probes, "centroids": index.centroids.tolist()}
+            self._delete(note)
+            self._write(note, json.dumps(found))
+            if old is not None:
+                self._delete(old["path"])
             self.metrics.index_rebuilds += 1
             self.metrics.index_rebuild_ms += (time.perf_counter() - began) * 1000
-        _, index, path = self._index
+        self._indexes[name, column] = found
         schema = T.StructType([T.StructField(ROWID, T.LongType()), T.StructField(f"_emb_{column}", T.ArrayType(T.FloatType())), T.StructField("cell", T.IntegerType())])
-        return index, self.spark.read.schema(schema).parquet(path)
+        return CellIndex(np.asarray(found["centroids"], np.float32), found["probes"]), self.spark.read.schema(schema).parquet(found["path"])
 
     def approximate(self, name: str, column: str, text: str, k: int = CAP) -> DataFrame:
         """``_rowid`` and ``score`` of the best ``k`` rows in the cells near the query, at the threshold or above."""
@@ -261,11 +281,19 @@ class Database:
         return scored.orderBy(F.desc("score"), ROWID).limit(k).where(F.col("score") >= self.threshold)
 
     # Writing.
-    def _segment(self, name: str, rows: DataFrame) -> str:
+    def _segment(self, name: str, rows: DataFrame, embedded: list[Column] | None = None, drop: Sequence[str] = ()) -> str:
+        """Write a segment; ``embedded`` is true of rows whose texts were embedded on the way, which are counted."""
         began = time.perf_counter()
         path = f"{self.root}/{name}/{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        self.metrics.persist_ms += (time.perf_counter() - began) * 1000
+        seen = Observation()
+        if embedded:
+            rows = rows.observe(seen, *[F.count(F.when(c, 1)).alias(f"n{i}") for i, c in enumerate(embedded)])
+        rows.drop(*drop).write.parquet(path)
+        ms = (time.perf_counter() - began) * 1000
+        if embedded:  # making and writing vectors is one job, so its time is given to both
+            self.metrics.embed_calls += sum(seen.get.values())
+            self.metrics.embed_ms += ms
+        self.metrics.persist_ms += ms
         return path
 
     def _typed(self, manifest: Manifest, rows: DataFrame) -> DataFrame:
@@ -284,7 +312,11 @@ class Database:
         return rows.withColumns({f"_emb_{v}": vector(v) for v in manifest.vectors()}).select(*[f"`{c}`" for c in manifest.schema().names])
 
     def insert(self, name: str, rows: DataFrame | list[dict]) -> int:
-        """Add rows; a ``_rowid`` that exists is replaced, missing ones continue from the last. Returns how many."""
+        """Add rows; a ``_rowid`` that exists is replaced, missing ones continue from the last. Returns how many came in.
+
+        Of rows that bring the same ``_rowid`` the last one stays. Rows without one get theirs after all that are
+        there or brought along.
+        """
         manifest = self._manifest(name)
         if isinstance(rows, list):
             given = T.StructType([T.StructField(ROWID, T.LongType())] * any(ROWID in r for r in rows) + [T.StructField(c.name, c.type) for c in manifest.columns if any(c.name in r for r in rows)])
@@ -295,26 +327,31 @@ class Database:
         typed = self._typed(manifest, rows)
         supplied = ROWID in typed.columns
         typed = typed if supplied else typed.withColumn(ROWID, F.lit(None).cast("long"))
-        staged = self.spark.read.parquet(self._segment(name, numbered(typed)))
-        # Row ids follow on from part to part: a count for each written part is all that the driver sees.
-        parts = sorted((r.part, r.n, r.top) for r in staged.groupBy("__part").agg(F.count(F.when(F.col(ROWID).isNull(), 1)).alias("n"), F.max(ROWID).alias("top")).select(F.col("__part").alias("part"), "n", "top").collect())
-        first = max([manifest.next_rowid, *(top + 1 for _, _, top in parts if top is not None)])
+        staging = self._segment(name, numbered(typed))
+        staged = self.spark.read.parquet(staging)
+        # Row ids follow on from part to part: a few numbers for each written part are all that the driver sees.
+        counts = staged.groupBy(F.col("__part").alias("part")).agg(F.count("*").alias("n"), F.count("__place").alias("missing"), F.max(ROWID).alias("top"))
+        parts = sorted((r.part, r.missing, r.top, r.n) for r in counts.collect())
+        first = max([manifest.next_rowid, *(top + 1 for _, _, top, _ in parts if top is not None)])
         starts, at = [], first
-        for part, n, _ in parts:
+        for part, missing, _, _ in parts:
             starts.append((part, at))
-            at += n
+            at += missing
         offsets = F.broadcast(self.spark.createDataFrame(starts or [(0, 0)], "__part int, __start long"))
-        placed = staged.join(offsets, "__part").withColumn(ROWID, F.coalesce(ROWID, F.col("__start") + F.col("__place"))).drop("__part", "__place", "__start")
-        segment = self._segment(name, self._embedded(manifest, placed))
+        placed = staged.join(offsets, "__part").withColumn(ROWID, F.coalesce(ROWID, F.col("__start") + F.col("__place")))
+        if supplied:
+            placed = _last(placed)
+        embedded = [F.col(f"`_emb_{v}`").isNotNull() for v in manifest.vectors()]
+        segment = self._segment(name, self._embedded(manifest, placed.drop("__part", "__place", "__line", "__start")), embedded if self.embedder.dim else None)
+        self._delete(staging)
         segments = list(manifest.segments)
-        new = self.spark.read.schema(manifest.schema()).parquet(segment)
         if supplied and segments:
-            own = new.select(F.col(ROWID).alias("__new"))
+            own = self._of(manifest, [segment]).select(F.col(ROWID).alias("__new"))
             if not self.rows(name).join(own, F.col(ROWID) == F.col("__new"), "left_semi").isEmpty():
                 kept = self.rows(name).join(own, F.col(ROWID) == F.col("__new"), "left_anti").select(*manifest.schema().names)
                 segments = [self._segment(name, kept)]
         self._save(name, Manifest(manifest.columns, manifest.model_id, manifest.dim, at, [*segments, segment]))
-        return new.count()
+        return sum(n for *_, n in parts)
 
     def _touched(self, name: str, where: Column | None) -> tuple[list[str], list[str]]:
         """Segments with a row for which the condition is true, and the others, which stay as they are."""
@@ -330,9 +367,10 @@ class Database:
         return self.spark.read.schema(manifest.schema()).parquet(*segments)
 
     def update(self, name: str, changes: dict[str, Column | object], where: Column | None = None) -> None:
-        """Set columns where the condition holds, and embed the changed texts again; ``_rowid`` may be set too.
+        """Set columns where the condition holds, and embed the changed texts again; only segments with such rows are written anew.
 
-        Only segments with such rows are written anew.
+        ``_rowid`` may be set too (null leaves it): a row that moves onto another's id replaces it, unless that one moves
+        away as well; of several that move onto one id, the one that had the largest stays.
         """
         manifest = self._manifest(name)
         hit = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
@@ -341,17 +379,27 @@ class Database:
         if unknown:
             raise StoreError(f"no such column: {sorted(unknown)[0]}")
         value = lambda c: changes[c] if isinstance(changes[c], Column) else F.lit(changes[c])
-        touched, kept = self._touched(name, where)
+        touched, kept = (manifest.segments, []) if ROWID in changes else self._touched(name, where)
         if not touched:
             return
         marked = self._of(manifest, touched).withColumn("__hit", hit)
-        new = marked.select("__hit", *[(F.when(F.col("__hit"), value(c)).otherwise(F.col(f"`{c}`")) if c in changes else F.col(f"`{c}`")).cast(kinds[c]).alias(c) for c in kinds])
-        for v in manifest.vectors():
-            fresh = embed_column(F.col(f"`{v}`"), self.embedder) if self.embedder.dim else F.lit(None).cast("array<float>")
-            if v in changes or not self.embedder.dim:
-                new = new.withColumn(f"_emb_{v}", F.when(F.col("__hit"), fresh).otherwise(F.col(f"`_emb_{v}`")))
-        segment = self._segment(name, new.drop("__hit"))
-        self._save(name, Manifest(manifest.columns, manifest.model_id, manifest.dim, manifest.next_rowid, [*kept, segment]))
+        set_ = lambda c: F.when(F.col("__hit"), value(c)).otherwise(F.col(f"`{c}`")) if c in changes else F.col(f"`{c}`")
+        new = marked.select("__hit", F.col(ROWID).alias("__old"), *[set_(c).cast(kinds[c]).alias(c) for c in kinds])
+        fresh = [v for v in manifest.vectors() if v in changes or not self.embedder.dim]
+        for v in fresh:
+            vector = embed_column(F.col(f"`{v}`"), self.embedder) if self.embedder.dim else F.lit(None).cast("array<float>")
+            new = new.withColumn(f"_emb_{v}", F.when(F.col("__hit"), vector).otherwise(F.col(f"`_emb_{v}`")))
+        next_rowid = manifest.next_rowid
+        if ROWID in changes:
+            new = new.withColumn(ROWID, F.coalesce(ROWID, "__old"))
+            moves = F.col(ROWID) != F.col("__old")
+            moved = new.where(moves).groupBy(F.col(ROWID).alias("__id")).agg(F.max("__old").alias("__from"))
+            new = new.join(moved, F.col(ROWID) == F.col("__id"), "left").where(F.col("__id").isNull() | (moves & (F.col("__old") == F.col("__from"))))
+        seen = [F.col("__hit") & F.col(f"`_emb_{v}`").isNotNull() for v in fresh] if self.embedder.dim else None
+        segment = self._segment(name, new, seen, drop=["__hit", "__old", "__id", "__from"])
+        if ROWID in changes:
+            next_rowid = max(next_rowid, (self._of(manifest, [segment]).agg(F.max(ROWID)).first()[0] or 0) + 1)
+        self._save(name, Manifest(manifest.columns, manifest.model_id, manifest.dim, next_rowid, [*kept, segment]))
 
     def delete(self, name: str, where: Column | None = None) -> None:
         """Remove the rows for which the condition is true; only segments with such rows are written anew."""
@@ -368,22 +416,47 @@ class Database:
         """Embed all rows again with the current model."""
         manifest = self._manifest(name)
         plain = self.rows(name).select(ROWID, *[f"`{c.name}`" for c in manifest.columns])
-        segment = self._segment(name, self._embedded(manifest, plain))
+        embedded = [F.col(f"`_emb_{v}`").isNotNull() for v in manifest.vectors()]
+        segment = self._segment(name, self._embedded(manifest, plain), embedded if self.embedder.dim else None)
         self._save(name, Manifest(manifest.columns, self.embedder.model_id, self.embedder.dim, manifest.next_rowid, [segment]))
 
+    def compact(self, name: str) -> None:
+        """One segment from all: many small inserts, as of a stream, leave as many."""
+        manifest = self._manifest(name)
+        if len(manifest.segments) > 1:
+            self._save(name, Manifest(manifest.columns, manifest.model_id, manifest.dim, manifest.next_rowid, [self._segment(name, self.rows(name))]))
+
+    def vacuum(self, name: str, versions: int = 1) -> int:
+        """Remove segments that none of the last ``versions`` committed versions names; readers of older ones lose them. Returns how many."""
+        if self._stack:
+            raise StoreError("a transaction is open")
+        read = lambda v: json.loads(self._read(f"{self.root}/{name}/_manifests/{v}"))["segments"]
+        named = {s.rpartition("/")[2] for v in self._versions(name)[-versions:] for s in read(v)}
+        gone = [d for d in self._list(f"{self.root}/{name}") if re.fullmatch("[0-9a-f]{32}", d) and d not in named]
+        for d in gone:
+            self._delete(f"{self.root}/{name}/{d}")
+        return len(gone)
+
+
+def _last(placed: DataFrame) -> DataFrame:
+    """Of rows with one id, the last by part and line. Ids that come once, as nearly all do, aren't gathered by id with their rows."""
+    at = F.struct("__part", "__line")
+    twice = placed.groupBy(F.col(ROWID).alias("__id")).agg(F.count("*").alias("__n"), F.max(at).alias("__last")).where(F.col("__n") > 1)
+    found = placed.join(twice, F.col(ROWID) == F.col("__id"), "left").where(F.col("__id").isNull() | (at == F.col("__last")))
+    return found.drop("__id", "__n", "__last")
+
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Rows with the number of their partition, and in it their place among those without a row id."""
+    """Rows with the number of their partition, their line in it, and their place among those of it without a row id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, place = TaskContext.get().partitionId(), 0
+        part, line, seen = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            missing = batch.column(ROWID).is_null().to_pylist()
-            places = []
-            for m in missing:
-                places.append(place if m else None)
-                place += m
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(places), pa.int32()), pa.array(places, pa.int64())], names=[*batch.schema.names, "__part", "__place"])
-
-    schema = T.StructType([*rows.schema, T.StructField("__part", T.IntegerType()), T.StructField("__place", T.LongType())])
+            missing = np.asarray(batch.column(ROWID).is_null())
+            lines = pa.array(np.arange(line, line + len(missing)))
+            places = pa.array(np.cumsum(missing) - 1 + seen, mask=~missing)
+            line, seen = line + len(missing), seen + int(missing.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(missing), part, np.int32)), lines, places], names=[*batch.schema.names, "__part", "__line", "__place"])
+
+    schema = T.StructType([*rows.schema, T.StructField("__part", T.IntegerType()), T.StructField("__line", T.LongType()), T.StructField("__place", T.LongType())])
     return rows.mapInArrow(run, schema)

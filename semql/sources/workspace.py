@@ -5,15 +5,16 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semql import __version__
-from semql.functions.embedders import Embedder, embed_one
+from semql.functions.embedders import Embedder, embed_one, embed_udf
+from semql.metrics import Metrics
 from semql.operators.matchdsl import APPROXIMATE, EXACT
-from semql.operators.scan import ROWID, Match
+from semql.operators.scan import CAP, ROWID, THRESHOLD, Match, VectorTable
 from semql.sources.store import Database, StoreError
 
 PAGE = 500
@@ -23,16 +24,30 @@ MARKER = "--==VECTORS==--"
 
 @dataclass
 class QueryResult:
+    """A planned query. Times and counters are complete once ``rows`` has run it; until then they are of its planning."""
+
     df: DataFrame
+    counters: Metrics
+    before: dict
     elapsed_ms: float = 0.0
-    metrics: dict = field(default_factory=dict)
 
     @property
     def columns(self) -> list[str]:
         return self.df.columns
 
+    @property
+    def metrics(self) -> dict:
+        """What was counted since the query was given."""
+        return self.counters.since(self.before)
+
     def rows(self) -> list[tuple]:
-        return [tuple(r) for r in self.df.collect()]
+        began = time.perf_counter()
+        found = [tuple(r) for r in self.df.collect()]
+        ms = (time.perf_counter() - began) * 1000
+        self.elapsed_ms += ms
+        if self.metrics["search_ops"]:
+            self.counters.ran(ms)
+        return found
 
 
 def register_functions(spark: SparkSession, embedder: Embedder) -> None:
@@ -46,6 +61,30 @@ def register_functions(spark: SparkSession, embedder: Embedder) -> None:
     spark.sql("""
         CREATE OR REPLACE TEMPORARY FUNCTION semql_dot(a ARRAY<FLOAT>, b ARRAY<DOUBLE>) RETURNS DOUBLE
         RETURN aggregate(zip_with(a, b, (x, y) -> coalesce(double(x) * double(y), 0D)), 0D, (t, x) -> t + x)""")
+    spark.udf.register("semql_embed", embed_udf(embedder))
+
+
+def register_search(spark: SparkSession, view: str, table: VectorTable, threshold: float = THRESHOLD, cap: int = CAP) -> None:
+    """MATCH for SQL: two table functions for each vector column of ``table``, which ``view`` shows with its vectors.
+
+    ``<view>_<column>_match(text, candidates, least)`` has the best ``candidates`` rows of those at ``least`` or above and
+    ``<view>_<column>_exact(text, least)`` all of them; both with the row id, the columns and ``<column>_score``. The text is
+    embedded once a call; null and blank ones give no rows. Conditions beside a call see what the cap has left.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in table.df.schema}
+    shown = ", ".join(f"`{c}`" for c in table.columns)
+    returns = ", ".join([f"rowid {kinds[table.rowid]}", *(f"`{c}` {kinds[c]}" for c in table.columns)])
+    for column, vector in table.embeddings.items():
+        score = table.score_name(column)
+        for kind, extra in (("match", f"candidates INT DEFAULT {cap}, "), ("exact", "")):
+            name = f"`{view}_{column}_{kind}`"
+            # The text's vector is a table of one row, so it is made once.
+            scored = f"SELECT *, semql_dot(`{vector}`, __query) AS `{score}` FROM `{view}_data` JOIN (SELECT semql_embed({name}.query) AS __query) ON true"
+            place = f"row_number() OVER (ORDER BY `{score}` DESC NULLS LAST, `{table.rowid}`) AS __place, " if extra else ""
+            kept = f"__place <= {name}.candidates AND " if extra else ""
+            spark.sql(f"""
+                CREATE OR REPLACE TEMPORARY FUNCTION {name}(query STRING, {extra}least DOUBLE DEFAULT {float(threshold)}D) RETURNS TABLE ({returns}, `{score}` DOUBLE)
+                RETURN SELECT `{table.rowid}`, {shown}, `{score}` FROM (SELECT {place}* FROM ({scored})) WHERE {kept}`{score}` >= {name}.least""")
 
 
 class Workspace:
@@ -84,26 +123,42 @@ class Workspace:
             table = self._open().table(t)
             table.star(table.df).createOrReplaceTempView(t)
             table.df.createOrReplaceTempView(f"{t}_data")
-        for name in self.views():
-            self.spark.sql(self._open()._read(f"{self._open().root}/_views/{name}.sql")).createOrReplaceTempView(name)
+            if self._open().embedder.dim:
+                register_search(self.spark, t, table, table.threshold, table.cap)
+        for name, file in self._view_files().items():
+            self.spark.sql(self._open()._read(file)).createOrReplaceTempView(name)
 
-    def views(self) -> list[str]:
+    def _view_files(self) -> dict[str, str]:
+        """Views in the order in which they were made, so that each comes after those it uses."""
         db = self._open()
-        return [f.removesuffix(".sql") for f in db._list(f"{db.root}/_views") if f.endswith(".sql")]
+        files = [f for f in db._list(f"{db.root}/_views") if f.endswith(".sql")]
+        return {f[7:].removesuffix(".sql"): f"{db.root}/_views/{f}" for f in files}
+
+    def views(self) -> list[str]:
+        return list(self._view_files())
 
     def create_view(self, name: str, sql: str) -> None:
-        """A stored SELECT over the tables, planned anew whenever it is used. One view may not use another."""
-        db = self._open()
-        if name in (*self.views(), *db.tables()):
+        """A stored SELECT over tables, searches and earlier views, planned anew whenever it is used."""
+        db, files = self._open(), self._view_files()
+        if name in (*files, *db.tables()):
             raise StoreError(f"{name} exists")
         self.register_views()
         self.spark.sql(sql).schema  # fails now rather than later
-        db._write(f"{db.root}/_views/{name}.sql", sql)
+        number = max((int(f.rpartition("/")[2][:6]) for f in files.values()), default=0) + 1
+        db._write(f"{db.root}/_views/{number:06d}-{name}.sql", sql)
+
+    def drop_view(self, name: str) -> None:
+        files = self._view_files()
+        if name not in files:
+            raise StoreError(f"no such view: {name}")
+        self._open()._delete(files[name])
 
     def query(self, sql: str, args: list | dict | None = None) -> QueryResult:
         """Spark SQL over the tables; ``args`` fill ``?`` or ``:name``.
 
-        Semantic predicates are written out: ``semql_dot(_emb_notes, :q) >= 0.5`` over ``<name>_data``, with ``embed(text)`` for ``:q``.
+        Searches are table functions, ``SELECT * FROM tickets_problem_match('card declined') WHERE status = 'open'`` (see
+        ``register_search``). A filter before the search is written out over ``<name>_data``, as ``semql_dot(_emb_problem, :q) >= 0.5``
+        with ``embed(text)`` for ``:q``, and so is a score used in other ways.
         """
         self.register_views()
         return self._measured(lambda: self.spark.sql(sql, args=args))
@@ -116,7 +171,7 @@ class Workspace:
     def _measured(self, make: Callable[[], DataFrame]) -> QueryResult:
         before, began = self._open().metrics.snapshot(), time.perf_counter()
         df = make()
-        return QueryResult(df, (time.perf_counter() - began) * 1000, self._open().metrics.since(before))
+        return QueryResult(df, self._open().metrics, before, (time.perf_counter() - began) * 1000)
 
     def search(self, table: str, column: str, text: str, limit: int = PAGE, exact: bool = False, candidates: int | None = None) -> QueryResult:
         """The search bar: rows like ``text``, with ``rowid`` and ``_similarity`` at four decimals, the best first."""

@@ -88,3 +88,52 @@ def test_pooling_and_registry():
     assert embedders.OnnxEmbedder("gte-small", "m", "t").dim == 384
     with pytest.raises(ValueError):
         embedders.OnnxEmbedder("unknown", "m", "t")
+
+
+def field(number, value):
+    """A field of a protocol buffer: a number, or bytes."""
+
+    def varint(n):
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def tiny_model(table):
+    """An ONNX model that looks token ids up in a table: [texts, tokens] to [texts, tokens, dim]."""
+    tensor = field(1, table.shape[0]) + field(1, table.shape[1]) + field(2, 1) + field(8, "table") + field(9, table.astype("<f4").tobytes())
+    node = field(1, "table") + field(1, "input_ids") + field(2, "out") + field(4, "Gather")
+    shape = lambda *dims: b"".join(field(1, field(2, d) if isinstance(d, str) else field(1, d)) for d in dims)
+    value = lambda name, kind, dims: field(1, name) + field(2, field(1, field(1, kind) + field(2, dims)))
+    graph = field(1, node) + field(2, "g") + field(5, tensor) + field(11, value("input_ids", 7, shape("n", "t"))) + field(12, value("out", 1, shape("n", "t", table.shape[1])))
+    return field(1, 8) + field(7, graph) + field(8, field(1, "") + field(2, 13))
+
+
+def test_onnx_embedder(spark, tmp_path):
+    """Texts of different lengths, in one batch, are the normalised means of their tokens' rows."""
+    pytest.importorskip("onnxruntime")
+    tokenizers = pytest.importorskip("tokenizers")
+    words = ["[U]", "red", "apple", "blue", "sky"]
+    tokenizer = tokenizers.Tokenizer(tokenizers.models.WordLevel({w: i for i, w in enumerate(words)}, "[U]"))
+    tokenizer.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
+    tokenizer.save(str(tmp_path / "tokenizer.json"))
+    table = np.random.default_rng(1).normal(size=(5, 3))
+    (tmp_path / "model.onnx").write_bytes(tiny_model(table))
+    e = embedders.OnnxEmbedder("tiny", str(tmp_path / "model.onnx"), str(tmp_path / "tokenizer.json"), dim=3, max_tokens=4)
+    texts = ["red apple", "  blue sky ", None, "sky", "", "red red blue apple sky sky", "apple", "nothing known"]
+    for most in (64, 1):
+        for text, got in zip(texts, e.embed(texts, most), strict=True):
+            if not (text or "").strip():
+                assert got is None
+                continue
+            mean = table[[words.index(w) if w in words else 0 for w in text.split()][:4]].mean(axis=0)
+            assert np.allclose(got, mean / np.linalg.norm(mean), atol=1e-5)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", embedders.embed_column(F.col("t"), e).alias("v"))
+    assert [r.v is None for r in rows.orderBy("i").collect()] == [not (t or "").strip() for t in texts]

@@ -1,7 +1,8 @@
 """Joins and searches by similarity: queries go out in blocks, rows are scored a batch at a time.
 
-The query side is streamed through the driver into blocks of a fixed number of vectors, each broadcast
-once; the other side, of any size, is read once and never shuffled before its rows are reduced to results.
+The query side is streamed through the driver into blocks of a fixed number of vectors, each broadcast once; the
+driver makes one at a time, and a worker keeps a few and reads the others anew for each batch of rows. The other
+side, of any size, is read once and never shuffled before its rows are reduced to results.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 4_096
+#: Blocks that a worker keeps from batch to batch.
+KEPT_BLOCKS = 16
 
 
 def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,11 +53,13 @@ def _pairs(rows: DataFrame, id_col: str, vector_col: str, blocks: list, dim: int
         for batch in batches:
             known, values = matrix(batch.column("v"), dim)
             ids = batch.column("id").to_numpy()[known]
-            for b in blocks:
+            for i, b in enumerate(blocks):
                 query_ids, query_rows = b.value
+                if i >= KEPT_BLOCKS:
+                    b.__dict__.pop("_value", None)  # a worker's copy; the next batch reads it from disk again
                 row, query = pick(values @ query_rows.T)
-                for i in range(0, len(row), 1 << 16):
-                    r, q = row[i : i + (1 << 16)], query[i : i + (1 << 16)]
+                for at in range(0, len(row), 1 << 16):
+                    r, q = row[at : at + (1 << 16)], query[at : at + (1 << 16)]
                     exact = np.einsum("ij,ij->i", values[r].astype(np.float64), query_rows[q].astype(np.float64))
                     yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids[r]), pa.array(exact)], names=["query_id", "id", "score"])
 

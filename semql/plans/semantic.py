@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,8 +11,9 @@ from semql.functions.embedders import HashingEmbedder, embed_column
 from semql.functions.sqlite import compare, like, nocase, rtrimmed
 from semql.operators import ann, neighbours
 from semql.operators.scan import Branch, Match, VectorTable
+from semql.shared import cut, shared_path
 from semql.sources.store import Database
-from semql.sources.workspace import register_functions
+from semql.sources.workspace import Workspace, register_functions, register_search
 from semql.streaming.ingest import ingest
 
 DIM = 64
@@ -24,25 +23,30 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder that all executors share: the one that the session names, else one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/semql-{uuid.uuid4().hex}"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def vecs(spark: SparkSession, d: str, threshold: float = 0.1) -> VectorTable:
     return VectorTable(table(spark, d, "embeddings"), {"embedding": "embedding"}, rowid="vec_id", threshold=threshold)
 
 
-def docs(spark: SparkSession, d: str, threshold: float = 0.5, columns: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars")) -> VectorTable:
-    rows = table(spark, d, "documents").select(*columns)
-    embedder = HashingEmbedder()
-    return VectorTable(rows.withColumn("_emb_text", embed_column(F.col("text"), embedder)), {"text": "_emb_text"}, embedder, rowid="doc_id", threshold=threshold)
+#: Documents whose texts have been embedded, by application and folder.
+_EMBEDDED: dict[tuple[str, str], DataFrame] = {}
+
+
+def embedded(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the vectors of their texts, which are made when they are written, once an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _EMBEDDED:
+        rows = table(spark, d, "documents")
+        _EMBEDDED[key] = cut(rows.withColumn("_emb_text", embed_column(F.col("text"), HashingEmbedder())), "documents")
+    return _EMBEDDED[key]
+
+
+def docs(spark: SparkSession, d: str, threshold: float = 0.5) -> VectorTable:
+    return VectorTable(embedded(spark, d), {"text": "_emb_text"}, HashingEmbedder(), rowid="doc_id", threshold=threshold)
 
 
 def both(spark: SparkSession, d: str) -> VectorTable:
     """Two vector columns: documents joined with the embedding of the same id."""
-    found = docs(spark, d, 0.05, ("doc_id", "text", "lang"))
+    found = docs(spark, d, 0.05)
     joined = found.df.join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"))
     return found.at(df=joined, embeddings={"embedding": "embedding", "text": "_emb_text"})
 
@@ -113,7 +117,7 @@ def match_default_threshold(spark, d):
 
 @query("match_text_exact", f"WITH {_T} SELECT doc_id, round(score, 4) AS score FROM t WHERE score >= 0.5")
 def match_text_exact(spark, d):
-    return docs(spark, d).scan(Match("text", text_of(spark, d) + "/exact")).select("doc_id", text_score())
+    return docs(spark, d).scan(Match("text", text_of(spark, d) + " /exact ")).select("doc_id", text_score())
 
 
 @query("prefilter_eq", f"WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM s WHERE label = 3 AND score >= -0.5")
@@ -121,14 +125,14 @@ def prefilter_eq(spark, d):
     return vecs(spark, d, -0.5).scan(Match("embedding", vec(spark, d)), where=F.col("label") == 3).select("vec_id", score())
 
 
-@query("prefilter_range", f"WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM s WHERE vec_id >= 50 AND vec_id < 450 AND score >= -0.5")
+@query("prefilter_range", f"WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM s WHERE label >= 2 AND label < 7 AND score >= -0.5")
 def prefilter_range(spark, d):
-    return vecs(spark, d, -0.5).scan(Match("embedding", vec(spark, d)), where=(F.col("vec_id") >= 50) & (F.col("vec_id") < 450)).select("vec_id", score())
+    return vecs(spark, d, -0.5).scan(Match("embedding", vec(spark, d)), where=(F.col("label") >= 2) & (F.col("label") < 7)).select("vec_id", score())
 
 
-@query("prefilter_in", f"WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM s WHERE label IN (1, 4, 7) AND vec_id BETWEEN 5 AND 400 AND score >= 0.0")
+@query("prefilter_in", f"WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM s WHERE label IN (1, 4, 7, 9) AND label BETWEEN 2 AND 8 AND score >= 0.0")
 def prefilter_in(spark, d):
-    where = F.col("label").isin(1, 4, 7) & F.col("vec_id").between(5, 400)
+    where = F.col("label").isin(1, 4, 7, 9) & F.col("label").between(2, 8)
     return vecs(spark, d, 0.0).scan(Match("embedding", vec(spark, d)), where=where).select("vec_id", score())
 
 
@@ -167,11 +171,11 @@ def multi_match_or(spark, d):
 @query(
     "or_branch_union",
     f"""WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM s WHERE label = 2 AND score >= 0.0
-        UNION ALL SELECT vec_id, CAST(NULL AS DOUBLE) FROM s WHERE vec_id < 40 AND NOT (label = 2 AND score >= 0.0)""",
+        UNION ALL SELECT vec_id, CAST(NULL AS DOUBLE) FROM s WHERE label IN (2, 3) AND NOT (label = 2 AND score >= 0.0)""",
 )
 def or_branch_union(spark, d):
     near = Branch((Match("embedding", vec(spark, d)),), F.col("label") == 2)
-    return vecs(spark, d, 0.0).any_of(near, Branch((), F.col("vec_id") < 40)).select("vec_id", score())
+    return vecs(spark, d, 0.0).any_of(near, Branch((), F.col("label").isin(2, 3))).select("vec_id", score())
 
 
 @query("score_null_no_match", "SELECT vec_id, CAST(NULL AS DOUBLE) AS score FROM embeddings WHERE label = 5")
@@ -248,8 +252,7 @@ def hybrid_join(spark, d):
 def semantic_join(spark, d):
     embedder = HashingEmbedder()
     items = table(spark, d, "benchmark").withColumn("v", embed_column(F.col("text"), embedder))
-    rows = table(spark, d, "documents").select("doc_id", embed_column(F.col("text"), embedder).alias("v"))
-    found = neighbours.similarity_join(rows, items, 0.6, "doc_id", "v", "item_id", "v", embedder.dim)
+    found = neighbours.similarity_join(embedded(spark, d), items, 0.6, "doc_id", "_emb_text", "item_id", "v", embedder.dim)
     return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 3).alias("score"))
 
 
@@ -292,13 +295,13 @@ def anti_match(spark, d):
 @query(
     "match_union_except",
     f"""WITH {_SCORED} (SELECT vec_id FROM s WHERE score >= 0.1 UNION SELECT vec_id FROM s WHERE label = 1)
-        EXCEPT (SELECT vec_id FROM s WHERE score >= 0.2 INTERSECT SELECT vec_id FROM s WHERE vec_id < 300)""",
+        EXCEPT (SELECT vec_id FROM s WHERE score >= 0.2 INTERSECT SELECT vec_id FROM s WHERE label < 5)""",
 )
 def match_union_except(spark, d):
     at = lambda t: vecs(spark, d, t).scan(Match("embedding", vec(spark, d), "exact")).select("vec_id")
     rows = table(spark, d, "embeddings")
     left = at(0.1).union(rows.where(F.col("label") == 1).select("vec_id")).distinct()
-    return left.subtract(at(0.2).intersect(rows.where(F.col("vec_id") < 300).select("vec_id")))
+    return left.subtract(at(0.2).intersect(rows.where(F.col("label") < 5).select("vec_id")))
 
 
 @query("nocase_eq", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' COLLATE NOCASE")
@@ -306,34 +309,48 @@ def nocase_eq(spark, d):
     return table(spark, d, "customer").where(nocase(F.col("c_mktsegment")) == "building").select("c_custkey", "c_mktsegment")
 
 
-@query("rtrim_eq", "SELECT c_custkey, c_name FROM customer WHERE rtrim(c_name || '  ', ' ') = rtrim(c_name, ' ') AND c_custkey % 3 = 0")
+@query(
+    "rtrim_eq",
+    """SELECT c_custkey, c_mktsegment FROM (SELECT *, c_mktsegment || CASE c_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN '   ' ELSE chr(9) END AS padded FROM customer)
+       WHERE rtrim(padded, ' ') = 'BUILDING' OR rtrim(padded, ' ') = 'MACHINERY'""",
+)
 def rtrim_eq(spark, d):
-    padded = F.concat("c_name", F.lit("  "))
-    return table(spark, d, "customer").where((rtrimmed(padded) == rtrimmed(F.col("c_name"))) & (F.col("c_custkey") % 3 == 0)).select("c_custkey", "c_name")
+    """Spaces at the end don't count, on either side; a tab does."""
+    end = F.when(F.col("c_nationkey") % 3 == 0, "").when(F.col("c_nationkey") % 3 == 1, "   ").otherwise("\t")
+    value = rtrimmed(F.concat("c_mktsegment", end))
+    wanted = (value == rtrimmed(F.lit("BUILDING  "))) | (value == rtrimmed(F.lit("MACHINERY")))
+    return table(spark, d, "customer").where(wanted).select("c_custkey", "c_mktsegment")
 
 
-@query(
-    "int_real_exact",
-    """SELECT o_orderkey, CASE WHEN CAST(o_orderkey AS DECIMAL(38, 1)) + 9007199254740992 > 9007199254741000.5 THEN 1 ELSE -1 END AS side FROM orders WHERE o_orderkey < 500""",
-)
+@query("int_real_exact", "SELECT o_orderkey, CASE WHEN CAST(o_orderkey AS DECIMAL(38, 1)) + 9007199254740992 > 9007199254741000.5 THEN 1 ELSE -1 END AS side FROM orders")
 def int_real_exact(spark, d):
     big = F.col("o_orderkey") + F.lit(9007199254740992)
     side = F.when(compare(big, 9007199254741000.0) > 0, 1).otherwise(-1)
-    return table(spark, d, "orders").where(F.col("o_orderkey") < 500).select("o_orderkey", side.alias("side"))
+    return table(spark, d, "orders").select("o_orderkey", side.alias("side"))
 
 
-@query("null_empty_excluded", "SELECT count(*) AS n_rows, count(*) FILTER (WHERE doc_id % 3 = 2) AS n_embedded FROM documents")
+@query(
+    "null_empty_excluded",
+    """SELECT lang, count(*) AS n_rows, count(*) FILTER (WHERE n_chars % 3 = 2 AND regexp_matches(text, '[^ \t-\r]')) AS n_embedded FROM documents GROUP BY lang""",
+)
 def null_empty_excluded(spark, d):
-    kind = F.col("doc_id") % 3
-    text = F.when(kind == 0, F.lit(None)).when(kind == 1, F.lit("  ")).otherwise(F.lit("some words"))
-    rows = table(spark, d, "documents").select("doc_id").withColumn("v", embed_column(text, HashingEmbedder()))
-    return rows.agg(F.count("*").alias("n_rows"), F.count("v").alias("n_embedded"))
+    """Some texts become null and some blanks as long as they were; the others are embedded whole."""
+    kind = F.col("n_chars") % 3
+    text = F.when(kind == 2, F.col("text")).when(kind == 1, F.repeat(F.lit(" "), F.col("n_chars").cast("int")))
+    rows = table(spark, d, "documents").select("lang", embed_column(text, HashingEmbedder()).alias("v"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n_rows"), F.count("v").alias("n_embedded"))
 
 
-@query("embed_normalize", "SELECT count(*) AS n, count(*) AS n_unit FROM embeddings")
+@query(
+    "embed_normalize",
+    """WITH x AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE) * (label + 1)) AS v FROM embeddings),
+       n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM x)
+       SELECT vec_id, round(CAST(CAST(v[1] / n AS FLOAT) AS DOUBLE), 4) AS head, round(CAST(CAST(v[64] / n AS FLOAT) AS DOUBLE), 4) AS last FROM n""",
+)
 def embed_normalize(spark, d):
-    length = vectors.norm(vectors.normalize(F.transform("embedding", lambda x: x * 7)))
-    return table(spark, d, "embeddings").agg(F.count("*").alias("n"), F.count(F.when(F.abs(length - 1) < 1e-5, 1)).alias("n_unit"))
+    unit = vectors.normalize(F.transform("embedding", lambda x: x.cast("double") * (F.col("label") + 1)))
+    at = lambda i: F.round(F.element_at("u", i).cast("double"), 4)
+    return table(spark, d, "embeddings").select("vec_id", unit.alias("u")).select("vec_id", at(1).alias("head"), at(-1).alias("last"))
 
 
 @query("embed_cosine", f"SELECT vec_id, round({_S}, 5) AS score FROM embeddings")
@@ -343,7 +360,7 @@ def embed_cosine(spark, d):
 
 
 def _stored(spark: SparkSession, d: str, name: str) -> Database:
-    db = Database(spark, scratch(spark, name), HashingEmbedder(dim=16, model_id="hashing-16"))
+    db = Database(spark, shared_path(spark, name), HashingEmbedder(dim=16, model_id="hashing-16"))
     db.create_table("notes", "doc INTEGER", "lang TEXT", "body TEXT VECTOR")
     db.insert("notes", table(spark, d, "benchmark").select(F.col("item_id").alias("_rowid"), F.col("item_id").alias("doc"), F.lit("xx").alias("lang"), F.col("text").alias("body")))
     return db
@@ -352,18 +369,38 @@ def _stored(spark: SparkSession, d: str, name: str) -> Database:
 @query(
     "dml_insert_update_delete",
     """SELECT item_id AS doc, CASE WHEN item_id % 5 = 0 THEN 'zz' ELSE 'xx' END AS lang, CASE WHEN item_id % 5 = 0 THEN 'changed' ELSE text END AS body
-       FROM benchmark WHERE item_id % 3 <> 0 UNION ALL SELECT doc_id + 100000, lang, text FROM documents WHERE n_chars < 300""",
+       FROM benchmark WHERE item_id % 3 <> 0 UNION ALL SELECT doc_id + 100000, CASE WHEN lang = 'fr' THEN 'FR' ELSE lang END, text FROM documents WHERE lang <> 'es'""",
 )
 def dml_insert_update_delete(spark, d):
     db = _stored(spark, d, "dml")
-    small = table(spark, d, "documents").where(F.col("n_chars") < 300)
-    db.insert("notes", small.select((F.col("doc_id") + 100000).alias("doc"), "lang", F.col("text").alias("body")))
+    db.insert("notes", table(spark, d, "documents").select((F.col("doc_id") + 100000).alias("doc"), "lang", F.col("text").alias("body")))
     db.update("notes", {"lang": "zz", "body": "changed"}, (F.col("doc") % 5 == 0) & (F.col("doc") < 100000))
-    db.delete("notes", (F.col("doc") % 3 == 0) & (F.col("doc") < 100000))
+    db.update("notes", {"lang": "FR"}, F.col("lang") == "fr")
+    db.delete("notes", (F.col("lang") == "es") | ((F.col("doc") % 3 == 0) & (F.col("doc") < 100000)))
     stored = db.table("notes")
     return stored.star(stored.df)
 
 
+@query("replace_in_batch", "SELECT doc_id AS rowid, CASE WHEN lang = 'en' THEN 'again' ELSE lang END AS lang, text AS body FROM documents")
+def replace_in_batch(spark, d):
+    """English documents come twice in one batch; the later row stays."""
+    db = Database(spark, shared_path(spark, "batch"))
+    db.create_table("notes", "lang TEXT", "body TEXT")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("_rowid"), "lang", F.col("text").alias("body"))
+    db.insert("notes", rows.unionByName(rows.where(F.col("lang") == "en").withColumn("lang", F.lit("again"))))
+    return db.rows("notes").select(F.col("_rowid").alias("rowid"), "lang", "body")
+
+
+@query("update_rowid", "SELECT 2 * (doc_id // 2) AS rowid, arg_max(lang, doc_id) AS lang, arg_max(text, doc_id) AS body FROM documents GROUP BY 1")
+def update_rowid(spark, d):
+    """Odd row ids move onto the even ones before them, whose rows they replace."""
+    db = Database(spark, shared_path(spark, "moved"))
+    db.create_table("notes", "lang TEXT", "body TEXT")
+    db.insert("notes", table(spark, d, "documents").select(F.col("doc_id").alias("_rowid"), "lang", F.col("text").alias("body")))
+    db.update("notes", {"_rowid": F.col("_rowid") - F.col("_rowid") % 2})
+    return db.rows("notes").select(F.col("_rowid").alias("rowid"), "lang", "body")
+
+
 @query("txn_rollback", "SELECT item_id AS doc, CASE WHEN item_id < 10 THEN 'kept' ELSE 'xx' END AS lang FROM benchmark")
 def txn_rollback(spark, d):
     db = _stored(spark, d, "txn")
@@ -386,19 +423,121 @@ def replace_rowid(spark, d):
     return db.rows("notes").select(F.col("_rowid").alias("rowid"), "lang")
 
 
-@query("stream_ingest", "SELECT doc_id AS rowid, lang, source FROM documents")
+@query("stream_ingest", "SELECT doc_id AS rowid, lang, source, text FROM documents")
 def stream_ingest(spark, d):
-    """Documents as a stream, appended to a vector table batch by batch."""
+    """Documents as a stream, embedded and appended to a vector table batch by batch."""
     path = f"{d}/documents.parquet"
-    db = Database(spark, scratch(spark, "stream"))
-    db.create_table("docs", "lang TEXT", "source TEXT")
+    db = Database(spark, shared_path(spark, "stream"), HashingEmbedder(dim=16, model_id="hashing-16"))
+    db.create_table("docs", "lang TEXT", "source TEXT", "text TEXT VECTOR")
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern: the table may be one file
-    ingest(stream.select(F.col("doc_id").alias("_rowid"), "lang", "source"), db, "docs", scratch(spark, "stream-log")).awaitTermination()
-    return db.rows("docs").select(F.col("_rowid").alias("rowid"), "lang", "source")
+    ingest(stream.select(F.col("doc_id").alias("_rowid"), "lang", "source", "text"), db, "docs", shared_path(spark, "stream-log")).awaitTermination()
+    db.compact("docs")
+    return db.rows("docs").select(F.col("_rowid").alias("rowid"), "lang", "source", "text")
 
 
-@query("introspection", "SELECT label, count(*) AS n, '0.1.0' AS version, 'hashing-256' AS model, CAST(256 AS BIGINT) AS dim FROM embeddings GROUP BY label")
+@query(
+    "introspection",
+    f"""WITH {_SCORED} SELECT label, count(*) AS n, round(max(score), 5) AS best, '0.1.0' AS version, 'hashing-256' AS model, CAST(256 AS BIGINT) AS dim FROM s GROUP BY label""",
+)
 def introspection(spark, d):
     register_functions(spark, HashingEmbedder())
-    counts = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
-    return counts.select("label", "n", F.expr("semql_version()").alias("version"), F.expr("semql_model()").alias("model"), F.expr("semql_dim()").alias("dim"))
+    rows = table(spark, d, "embeddings").select("label", F.call_function("semql_dot", "embedding", F.array(*map(F.lit, vec(spark, d)))).alias("score"))
+    counts = rows.groupBy("label").agg(F.count("*").alias("n"), F.round(F.max("score"), 5).alias("best"))
+    return counts.select("*", F.expr("semql_version()").alias("version"), F.expr("semql_model()").alias("model"), F.expr("semql_dim()").alias("dim"))
+
+
+def _sql_search(spark: SparkSession, d: str, view: str) -> None:
+    """Documents for SQL, as ``view_data`` with vectors and by the search functions of ``view``."""
+    register_functions(spark, HashingEmbedder())
+    source = docs(spark, d)
+    source.df.createOrReplaceTempView(f"{view}_data")
+    register_search(spark, view, source.at(df=source.df.drop("n_chars")))
+
+
+_ONE = "(SELECT text FROM documents WHERE doc_id = 1)"
+
+
+@query("match_in_sql", f"WITH {_T} SELECT doc_id AS rowid, lang, round(score, 4) AS score FROM (SELECT * FROM t ORDER BY score DESC, doc_id LIMIT 256) JOIN documents USING (doc_id) WHERE score >= 0.5")
+def match_in_sql(spark, d):
+    _sql_search(spark, d, "semql_docs")
+    return spark.sql("SELECT rowid, lang, round(text_score, 4) AS score FROM semql_docs_text_match(:q)", args={"q": text_of(spark, d)[1:-1]})
+
+
+@query(
+    "match_in_sql_join",
+    f"WITH {_T} SELECT quality, lang, count(*) AS n, round(max(score), 4) AS best FROM t JOIN documents USING (doc_id) JOIN labels USING (doc_id) WHERE score >= 0.3 GROUP BY quality, lang",
+)
+def match_in_sql_join(spark, d):
+    _sql_search(spark, d, "semql_docs")
+    table(spark, d, "labels").createOrReplaceTempView("semql_labels")
+    text = "SELECT quality, lang, count(*) AS n, round(max(text_score), 4) AS best FROM semql_docs_text_exact(:q, 0.3) JOIN semql_labels ON rowid = doc_id GROUP BY quality, lang"
+    return spark.sql(text, args={"q": text_of(spark, d)[1:-1]})
+
+
+@query("match_join_key", f"WITH {_SCORED} SELECT vec_id, quality, round(score, 6) AS score FROM s JOIN labels ON doc_id = vec_id WHERE score >= -1.0")
+def match_join_key(spark, d):
+    """The join holds before the search: no cap hides rows that it keeps."""
+    labels = table(spark, d, "labels").select("doc_id", "quality")
+    found = vecs(spark, d, -1.0).at(cap=3).scan(Match("embedding", vec(spark, d)), join=(labels, F.col("doc_id") == F.col("vec_id")))
+    return found.select("vec_id", "quality", score())
+
+
+@query("rowid_residual", f"WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM (SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 256) WHERE score >= -1.0 AND vec_id % 2 = 1")
+def rowid_residual(spark, d):
+    found = vecs(spark, d, -1.0).scan(Match("embedding", vec(spark, d)))
+    return found.where(F.col("vec_id") % 2 == 1).select("vec_id", score())
+
+
+@query(
+    "is_null_residual",
+    f"""WITH {_SCORED}, k AS (SELECT vec_id, nullif(label, 4) AS label, score FROM s)
+        SELECT vec_id, label IS NULL AS missing, round(score, 6) AS score FROM (SELECT * FROM k ORDER BY score DESC, vec_id LIMIT 256) WHERE score >= -1.0 AND (label IS NULL OR label = 5)""",
+)
+def is_null_residual(spark, d):
+    source = vecs(spark, d, -1.0)
+    source = source.at(df=source.df.withColumn("label", F.nullif(F.col("label"), F.lit(4))))
+    found = source.scan(Match("embedding", vec(spark, d)))
+    return found.where(F.col("label").isNull() | (F.col("label") == 5)).select("vec_id", F.col("label").isNull().alias("missing"), score())
+
+
+@query(
+    "search_counters",
+    f"""WITH {_SCORED} SELECT 'cap' AS search, (SELECT count(*) FROM (SELECT 1 FROM s LIMIT 20)) AS candidates, (SELECT count(*) FROM (SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 20) WHERE score >= 0.1) AS rows_matched
+        UNION ALL SELECT 'exact', count(*), count(*) FILTER (WHERE score >= 0.1) FROM s
+        UNION ALL SELECT 'filter', count(*), count(*) FILTER (WHERE score >= 0.1) FROM s WHERE label = 3""",
+)
+def search_counters(spark, d):
+    """What searches count as they run."""
+    found = []
+    for name, match, where in [("cap", {"candidates": 20}, None), ("exact", {"mode": "exact"}, None), ("filter", {}, F.col("label") == 3)]:
+        source = vecs(spark, d).at(counted=True)
+        source.scan(Match("embedding", vec(spark, d), **match), where=where).write.format("noop").mode("overwrite").save()
+        counts = source.metrics.snapshot()
+        found.append((name, counts["candidates"], counts["rows_matched"]))
+    return spark.createDataFrame(found, "search string, candidates long, rows_matched long")
+
+
+@query(
+    "view_over_view",
+    "SELECT lang, count(*) AS n, max(n_chars) AS longest FROM documents WHERE n_chars > 200 GROUP BY lang HAVING count(*) > 3",
+)
+def view_over_view(spark, d):
+    w = Workspace(spark, shared_path(spark, "views"))
+    db = w.open_database("x")
+    db.create_table("semql_texts", "lang TEXT", "n_chars INTEGER", "body TEXT")
+    db.insert("semql_texts", table(spark, d, "documents").select("lang", "n_chars", F.col("text").alias("body")))
+    w.create_view("semql_long", "SELECT * FROM semql_texts WHERE n_chars > 200")
+    w.create_view("semql_by_lang", "SELECT lang, count(*) AS n, max(n_chars) AS longest FROM semql_long GROUP BY lang")
+    return w.query("SELECT * FROM semql_by_lang WHERE n > ?", [3]).df
+
+
+@query("reindexed_scores", f"WITH {_T.replace('% 256', '% 32')} SELECT doc_id AS rowid, round(score, 4) AS score FROM t WHERE score >= 0.7")
+def reindexed_scores(spark, d):
+    """A table of one model, embedded again with another and searched with that."""
+    root = shared_path(spark, "reindex")
+    db = Database(spark, root, HashingEmbedder(dim=16, model_id="hashing-16"))
+    db.create_table("docs", "text TEXT VECTOR")
+    db.insert("docs", table(spark, d, "documents").select(F.col("doc_id").alias("_rowid"), "text"))
+    other = Database(spark, root, HashingEmbedder(dim=32, model_id="hashing-32"), threshold=0.7)
+    other.reindex("docs")
+    return other.table("docs").scan(Match("text", text_of(spark, d) + "/exact")).select(F.col("_rowid").alias("rowid"), text_score())

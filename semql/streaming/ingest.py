@@ -1,4 +1,4 @@
-"""A stream of rows into a vector table: each micro-batch is embedded and appended as one segment."""
+"""A stream of rows into a vector table: each micro-batch is embedded and appended as one segment; ``Database.compact`` joins them."""
 
 from __future__ import annotations
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -10,6 +9,10 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semql.shared import cut, drop, shared_path
+
+__all__ = ["ascii_lower", "batch_of", "byte_texts", "cut", "drop", "filter_of", "kept_in_worker", "let", "only", "same", "set_aside", "shared_path", "table", "text_slices", "without"]
+
 #: ASCII white space, the class [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,22 +50,53 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the checkpoint folder, which all executors share.
+#: Bits of one of Spark's bitmaps.
+_BITMAP = 8 * 4096
+
 
-    The folder is the one that the session names; one is set only where none is, as in tests.
+def filter_of(rows: DataFrame, column: str, most_bits: int = 1 << 28) -> Callable[[Column], Column]:
+    """A test that is true of every hash in ``column`` of ``rows``, and of few others, in built-in expressions.
+
+    It is a set of bits, 16 for each row and ``most_bits`` at most, as a list of bitmaps in a table of one row: what goes to
+    the tasks has that bound, and where it is too small for the rows the test holds for more other hashes.
     """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/spark-checkpoints-{uuid.uuid4().hex}")
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    spark, div = rows.sparkSession, lambda a, b: F.call_function("div", a, F.lit(b))
+    buckets = max(1, min(most_bits, 1 << (16 * rows.count()).bit_length()) // _BITMAP)
+    place = lambda hashes: F.pmod(hashes, F.lit(buckets * _BITMAP))
+    at = place(F.col(column))
+    bits = rows.select(div(at, _BITMAP).alias("bucket"), (at % _BITMAP).alias("place")).distinct().repartition("bucket")
+    bits = bits.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+    every = spark.range(buckets).join(bits, F.col("id") == F.col("bucket"), "left")
+    in_order = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.unhex(F.repeat(F.lit("00"), _BITMAP // 8))).alias("bits"))))
+    held = cut(every.agg(in_order.alias("all")).select(F.transform("all", lambda x: x["bits"]).alias("bits")), "filter").scalar()
+
+    def holds(hashes: Column) -> Column:
+        def test(at: Column) -> Column:
+            byte = F.substring(F.element_at(held, (div(at, _BITMAP) + 1).cast("int")), (div(at % _BITMAP, 8) + 1).cast("int"), 1)
+            return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (at % 8).cast("int")) == 1
+
+        return test(place(hashes))
+
+    return holds
+
+
+def _told(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column, Column]:
+    """``rows(id, th)`` under names of their own, their condition on ``docs``, and a test that finds them all among ``docs`` and few others."""
+    named = rows.select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
+    th = F.xxhash64(docs[text_col])
+    return named, same(docs[id_col], F.col("__id")) & (th == F.col("__th")), filter_of(rows, "th")(th)
+
+
+def only(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Those of ``docs`` whose ids and text hashes are in ``rows(id, th)``; hardly any other is shuffled."""
+    named, equal, maybe = _told(docs, rows, id_col, text_col)
+    return docs.where(maybe).join(named, equal, "left_semi")
 
 
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: what made it isn't run again, and losing executors loses nothing."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def without(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Those of ``docs`` whose ids and text hashes aren't in ``rows(id, th)``; of the others hardly any is shuffled."""
+    named, equal, maybe = _told(docs, rows, id_col, text_col)
+    return docs.where(~maybe).union(docs.where(maybe).join(named, equal, "left_anti"))
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

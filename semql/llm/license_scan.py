@@ -124,6 +124,8 @@ SPDX = {
 NONE, UNKNOWN = "none", "unknown"
 #: Share of a template's weight that must stand in a paragraph, in order.
 LIKE = 0.8
+#: With less of a chance to be about a licence, words aren't compared with templates; windows begin at most two lines before a line with more.
+DOUBT = 0.2
 #: Ordinary paragraphs that the model is trained on, at most; the documents that they come from; and their code points.
 MAX_PARAGRAPHS, MAX_DOCUMENTS, MAX_CHARS = 3_000, 400, 10_000
 _WORDS = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*|[^\W\d_]+").findall
@@ -247,7 +249,10 @@ def classify(model: Model, words: list[str]) -> tuple[str, float, float]:
     """Family (or ``none`` or ``unknown``), its probability, and how much of its best template is there."""
     if not model.words.intersection(words):
         return NONE, 1.0, 0.0
-    p, like = model.probabilities(words), likenesses(words)
+    p = model.probabilities(words)
+    if 1 - p[-1] < DOUBT:
+        return NONE, float(p[-1]), 0.0
+    like = likenesses(words)
     best = model.classes[int(p[:-1].argmax())]
     if p[:-1].sum() >= model.floor and p.max() >= model.bound and like[best] >= LIKE:
         return best, float(p[:-1].max()), like[best]
@@ -267,13 +272,13 @@ def notices(model: Model, lines: list[list[str]]) -> list[tuple[int, int, str, f
     the shortest from its first line on, else lines next to each other that are, alone or with the next, of an unknown licence.
     """
     alone = [classify(model, w) for w in lines]
+    doubtful = [family == UNKNOWN or p <= 1 - DOUBT for family, p, _ in alone]
     free = [family in (NONE, UNKNOWN) for family, *_ in alone]
     out = [(i, i + 1, *alone[i]) for i, f in enumerate(free) if not f]
     i = 0
     while i < len(lines):
         best, words = None, list(lines[i]) if free[i] else []
-        # A window begins with a word that tells; what it lacks in front would be missing anyway.
-        for j in range(i + 1, len(lines)) if free[i] and model.words.intersection(lines[i]) else ():
+        for j in range(i + 1, len(lines)) if free[i] and any(doubtful[i : i + 3]) else ():
             words += lines[j]
             if not free[j] or len(words) > _WINDOW + len(lines[i]):
                 break
@@ -287,7 +292,7 @@ def notices(model: Model, lines: list[list[str]]) -> list[tuple[int, int, str, f
     unknown = [f and a[0] == UNKNOWN for f, a in zip(free, alone, strict=True)]
     sure = [a[1] if u else 0.0 for u, a in zip(unknown, alone, strict=True)]
     for i in range(len(lines) - 1):
-        if free[i] and free[i + 1] and not (unknown[i] and unknown[i + 1]) and (found := classify(model, lines[i] + lines[i + 1]))[0] == UNKNOWN:
+        if free[i] and free[i + 1] and (doubtful[i] or doubtful[i + 1]) and not (unknown[i] and unknown[i + 1]) and (found := classify(model, lines[i] + lines[i + 1]))[0] == UNKNOWN:
             unknown[i] = unknown[i + 1] = True
             sure[i], sure[i + 1] = max(sure[i], found[1]), max(sure[i + 1], found[1])
     i = 0

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semql.llm import simhash
-from semql.llm.common import byte_texts, cut, same, text_slices
+from semql.llm.common import byte_texts, cut, drop, only, same, text_slices, without
 from semql.llm.components import components
 from semql.llm.simhash import majority, shingle_hashes
 
@@ -54,10 +54,10 @@ def _sets(hashes: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def hashed(docs: DataFrame, id_col: str, text_col: str, words_each: int) -> DataFrame:
-    """``id``, ``th`` (a hash of the text), ``sid``, a hash of the shingles, and ``fp``, their fingerprint, of each row of
-    ``docs``; and, in rows without these, how many shingles ``n`` of each ``class`` of hashes a task has met."""
+    """``id``, ``th`` (a hash of the text), ``sid``, a hash of the shingles, ``fp``, their fingerprint, and their sketch, of each
+    row of ``docs``; and, in rows without these, how many shingles ``n`` of each ``class`` of hashes a task has met."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    names = ["id", "th", "sid", "fp", "class", "n"]
+    names = ["id", "th", "sid", "fp", *_SKETCH, "class", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, kind = np.zeros(_CLASSES, np.int64), pa.null()
@@ -65,13 +65,14 @@ def hashed(docs: DataFrame, id_col: str, text_col: str, words_each: int) -> Data
             hashes = _hashes(batch.column("text"), words_each)
             sets, sids = _sets(hashes)
             total += np.bincount(np.concatenate(sets) & (_CLASSES - 1), minlength=_CLASSES)
-            kind, none = batch.column("id").type, pa.nulls(len(sids), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(sids), pa.array([majority(h) for h in hashes], pa.int64()), none, none], names=names)
+            kind, none, made = batch.column("id").type, pa.nulls(len(sids), pa.int64()), sketches(sets)
+            own = [batch.column("id"), batch.column("th"), pa.array(sids), pa.array([majority(h) for h in hashes], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(made[:, i].copy()) for i in range(_WIDE)), none, none], names=names)
         if met := np.flatnonzero(total).tolist():
             none = pa.nulls(len(met), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(met), kind), none, none, none, pa.array(met, pa.int64()), pa.array(total[met])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(met), kind), *[none] * (3 + _WIDE), pa.array(met, pa.int64()), pa.array(total[met])], names=names)
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, th long, sid long, fp long, class long, n long")
+    return rows.mapInArrow(run, ", ".join([f"id {rows.schema['id'].dataType.simpleString()}", *(f"{n} long" for n in names[1:])]))
 
 
 def class_counts(found: DataFrame) -> np.ndarray:
@@ -90,16 +91,15 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def shingle_sets(texts: DataFrame, words_each: int) -> DataFrame:
-    """``sid``, ``shingles`` and sketch of each row of ``texts(text)``."""
+    """``sid`` and ``shingles`` of each row of ``texts(text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             sets, sids = _sets(_hashes(batch.column("text"), words_each))
-            ends, found = np.cumsum([0, *map(len, sets)]), sketches(sets)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([pa.array(sids), lists, *(pa.array(found[:, i].copy()) for i in range(_WIDE))], names=["sid", "shingles", *_SKETCH])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([pa.array(sids), lists], names=["sid", "shingles"])
 
-    return texts.mapInArrow(run, ", ".join(["sid long", "shingles array<long>", *(f"{p} long" for p in _SKETCH)]))
+    return texts.mapInArrow(run, "sid long, shingles array<long>")
 
 
 def prefixes(texts: DataFrame, words_each: int, counts: np.ndarray, share: Fraction) -> DataFrame:
@@ -151,12 +151,18 @@ def _possible(share: Fraction) -> Column:
     return _similar(F.least(n - F.col("place"), n2 - F.col("place2")), n, n2, share) & near
 
 
-def _links(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets are similar enough."""
+def _links(pairs: DataFrame, docs: DataFrame, least: DataFrame, id_col: str, text_col: str, words_each: int, share: Fraction) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets are similar enough; sets are made anew for these alone."""
     pairs = cut(pairs.distinct(), "pairs")
+    sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    named = cut(least.join(sids, "sid", "left_semi").select("least.id", "least.th"), "named")
+    texts = only(docs, named, id_col, text_col).select(F.col(text_col).alias("text"))
+    sets = cut(shingle_sets(texts, words_each).dropDuplicates(["sid"]), "sets")
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return cut(both.where(_similar(common, F.size("x"), F.size("y"), share)).select("a", "b"), "similar")
+    found = cut(both.where(_similar(common, F.size("x"), F.size("y"), share)).select("a", "b"), "similar")
+    drop(pairs, named, sets)
+    return found
 
 
 def _by_fingerprint(fps: DataFrame) -> DataFrame:
@@ -171,28 +177,26 @@ def groups(docs: DataFrame, found: DataFrame, least: DataFrame, id_col: str, tex
     """``sid`` and ``root``, the least sid of its group, of all sets that are linked to another; ``found`` has the hashes
     of all texts, ``least`` names a row of each set."""
     share, texts = Fraction(str(similarity)), docs.select(F.col(text_col).alias("text"))
-    keyed = cut(_held_twice(cut(prefixes(texts, words_each, class_counts(found), share), "prefixes")), "keys")
-    shared = keyed.groupBy("key").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where(F.col("first") != F.col("last"))
-    keyed = cut(keyed.join(shared.select("key"), "key"), "shared-keys")
-    # Only sets with a shared prefix shingle can be similar to another.
-    named = cut(least.join(keyed.select("sid").distinct(), "sid", "left_semi"), "named")
-    rows = named.select(F.col("least.id").alias("__id"), F.col("least.th").alias("__th"))
-    wanted = docs.join(rows, same(docs[id_col], F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left_semi")
-    sets = cut(shingle_sets(wanted.select(F.col(text_col).alias("text")), words_each).dropDuplicates(["sid"]), "sets")
-
-    def rooted(keyed: DataFrame, links: DataFrame) -> DataFrame:
-        roots = components(links).select(F.col("node").alias("sid"), "root")
-        return cut(keyed.drop("root").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted-keys")
-
-    links = _links(_by_fingerprint(named.select("sid", "fp")), sets, share)
-    keyed = rooted(keyed.join(sets.select("sid", *_SKETCH), "sid"), links)
-    columns = ["sid", "n", "place", "root", *_SKETCH]
+    every = cut(prefixes(texts, words_each, class_counts(found), share), "prefixes")
+    twice = cut(_held_twice(every), "keys")
+    shared = twice.groupBy("key").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where(F.col("first") != F.col("last"))
+    keyed = cut(twice.join(shared.select("key"), "key").join(least.select("sid", *_SKETCH), "sid"), "shared-keys")
+    drop(every, twice)
+    columns = ["sid", "n", "place", *_SKETCH]
     other = lambda rows: rows.toDF(*(c if c == "key" else f"{c}2" for c in rows.columns))
-    apart, pair = (F.col("root") != F.col("root2")) & _possible(share), [F.col("sid2").alias("a"), F.col("sid").alias("b")]
+    pair = [F.col("sid2").alias("a"), F.col("sid").alias("b")]
+    check = lambda pairs: _links(pairs, docs, least, id_col, text_col, words_each, share)
+
+    # Only sets with a shared prefix shingle can be similar to another.
+    fps = cut(least.join(keyed.select("sid").distinct(), "sid", "left_semi").select("sid", "fp"), "fingerprints")
     first = keyed.groupBy("key").agg(F.min(F.struct(*columns)).alias("f")).select("key", *[F.col(f"f.{c}") for c in columns])
-    links = links.union(_links(keyed.join(other(first), "key").where(apart).select(*pair), sets, share))
-    keyed = rooted(keyed, links).select("key", *columns)
-    more = _links(keyed.join(other(keyed), "key").where((F.col("sid2") < F.col("sid")) & apart).select(*pair), sets, share)
+    with_first = keyed.join(other(first), "key").where((F.col("sid") != F.col("sid2")) & _possible(share)).select(*pair)
+    links = check(_by_fingerprint(fps).union(with_first))
+    roots = components(links).select(F.col("node").alias("sid"), "root")
+    rooted = cut(keyed.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")).select("key", *columns, "root"), "rooted-keys")
+    drop(keyed, fps)
+    more = check(rooted.join(other(rooted), "key").where((F.col("sid2") < F.col("sid")) & (F.col("root") != F.col("root2")) & _possible(share)).select(*pair))
+    drop(rooted)
     return components(links.union(more)).select(F.col("node").alias("sid"), "root")
 
 
@@ -207,8 +211,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     """
     found = cut(hashed(docs, id_col, text_col, words_each), "hashed")
     rows = found.where(F.col("sid").isNotNull())
-    least = cut(rows.groupBy("sid").agg(F.min(F.struct("id", "th")).alias("least"), F.min("fp").alias("fp")), "least")
+    facts = [F.min("fp").alias("fp"), *(F.min(p).alias(p) for p in _SKETCH)]
+    least = cut(rows.groupBy("sid").agg(F.min(F.struct("id", "th")).alias("least"), *facts), "least")
     linked = groups(docs, found, least, id_col, text_col, words_each, similarity)
-    rooted = least.join(linked, "sid", "left").groupBy(F.coalesce("root", "sid")).agg(F.min("least").alias("first"))
-    first = rooted.select(F.col("first.id").alias("__id"), F.col("first.th").alias("__th"))
-    return docs.join(first, same(docs[id_col], F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left_semi")
+    rooted = cut(least.join(linked, "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root")), "rooted")
+    first = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    # All rows but those of each group's first document go: a group of equal texts may hold any share of the rows.
+    gone = rows.join(rooted.select("sid", "root"), "sid").join(first, "root").where(~(same(F.col("id"), F.col("first.id")) & (F.col("th") == F.col("first.th"))))
+    gone = cut(gone.select("id", "th").distinct(), "gone")
+    drop(found, least, rooted, linked)
+    return without(docs, gone, id_col, text_col)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from semql.llm.common import SPACE, cut, let, same, set_aside, table
+from semql.llm.common import SPACE, cut, drop, let, same, table, without
 
 WINDOW, FENCE, WEIGHT, SCALE, GAMMA = 8, 6, 25, 10_000, 1.02
 #: What is sketched: numerator and denominator.
@@ -180,15 +180,16 @@ def verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", so
     return judged(cut(counted(rows, "text").drop("text"), "quality-counts"), weight)
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", weight: float = WEIGHT) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", id_col: str = "doc_id", weight: float = WEIGHT) -> DataFrame:
     """``docs`` without the rows that the rules reject, as ``verdicts`` has them.
 
-    Rows are written once with their counts beside them and filtered where they lie, so no text is shuffled.
+    Texts that stay are not shuffled, but for the few whose hashes meet a rejected one's in a small filter.
     """
-    rows, restore = set_aside(docs, text_col, lang_col, source_col)
-    rows = rows.withColumnsRenamed({text_col: "text", lang_col: "lang", source_col: "source"})
-    kept = judged(cut(counted(rows, "text"), "quality-counts"), weight).where("kept")
-    return restore(kept.withColumnsRenamed({"text": text_col, "lang": lang_col, "source": source_col}))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    measured = cut(counted(rows, "text").drop("text"), "quality-counts")
+    gone = cut(judged(measured, weight).where(~F.col("kept")).select("id", "th").distinct(), "rejected")
+    drop(measured)
+    return without(docs, gone, id_col, text_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

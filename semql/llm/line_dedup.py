@@ -3,7 +3,7 @@
 Normalised lines are exploded as 128-bit hashes, distinct documents are counted per hash, and
 the positions to drop are gathered per document, whose text is then put together from the kept
 positions. The texts are shuffled once, with the dropped positions; the lines travel as hashes, which are
-written to the shared folder before they are counted.
+written to the shared folder before they are counted and removed when the positions are known.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semql.llm.common import LOWER, SPACE, UPPER, ascii_lower, cut, let, same, table
+from semql.llm.common import LOWER, SPACE, UPPER, ascii_lower, cut, drop, let, same, table
 
 #: A second, independent 64-bit hash: the seed of the first differs by what it has hashed before.
 _SALT = "line"
@@ -30,8 +30,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
 
     Null or empty texts count as one empty line and come back empty. Rows that repeat an id are one
     document where documents are counted, and each keeps its own text. A null id counts as one
-    document, before all others. Other columns pass through; inputs named ``n_lines`` or
-    ``n_dropped`` are replaced. An empty table gives an empty table.
+    document, before all others. Texts are split whole, however long; their lines are gathered by text, a hash and a
+    position each. Other columns pass through; inputs named ``n_lines`` or ``n_dropped`` are replaced. An empty
+    table gives an empty table.
     """
     own = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     base = docs.select(*own, F.coalesce(F.col(text_col), F.lit("")).alias("__text"), F.xxhash64(F.col(text_col)).alias("__th"))
@@ -40,20 +41,22 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
     lines = lines.select("__id", "__th", "__pos", F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit(_SALT), "__key").alias("__h2"))
     lines = cut(lines, "line-hashes")  # made once, counted and joined
 
-    # Null ids as a flag, so that min() sees them first.
-    who = F.struct(F.col("__id").isNotNull().alias("n"), F.col("__id").alias("i"))
+    # Null ids come first; they are told by a flag, so that ids are aggregated as they are.
+    null = F.max(F.col("__id").isNull().cast("int")).alias("__null")
     if min_docs <= 2:  # two different ids are enough to know: no list of documents per key
-        held = lines.groupBy("__h1", "__h2").agg(F.min(who).alias("__first"), F.max(who).alias("__last"))
-        held = held.where(~same(F.col("__first.i"), F.col("__last.i"))) if min_docs == 2 else held
+        held = lines.groupBy("__h1", "__h2").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last"), null)
+        several = (F.col("__first") != F.col("__last")) | ((F.col("__null") == 1) & F.col("__first").isNotNull())
+        held = held.where(several) if min_docs == 2 else held
     else:
         held = lines.groupBy("__h1", "__h2", "__id").count().groupBy("__h1", "__h2")
-        held = held.agg(F.min(who).alias("__first"), F.count("*").alias("__n")).where(F.col("__n") >= min_docs)
+        held = held.agg(F.min("__id").alias("__first"), null, F.count("*").alias("__n")).where(F.col("__n") >= min_docs)
     # A table of its own, so that both sides of the join are plain exchanges and a hot line can be split among tasks.
-    held = cut(held.select("__h1", "__h2", F.col("__first.i").alias("__first_id")), "held-lines")
-    drop = lines.join(held, ["__h1", "__h2"]).where(~same(F.col("__id"), F.col("__first_id")))
-    drop = drop.groupBy("__id", "__th").agg(F.collect_set("__pos").alias("__drop"))
+    held = cut(held.select("__h1", "__h2", F.when(F.col("__null") == 0, F.col("__first")).alias("__first_id")), "held-lines")
+    gone = lines.join(held, ["__h1", "__h2"]).where(~same(F.col("__id"), F.col("__first_id")))
+    gone = cut(gone.groupBy("__id", "__th").agg(F.collect_set("__pos").alias("__drop")), "dropped-lines")
+    drop(lines, held)
 
-    out = base.join(drop, same(base[id_col], drop["__id"]) & (base["__th"] == drop["__th"]), "left").drop(drop["__th"])
+    out = base.join(gone, same(base[id_col], gone["__id"]) & (base["__th"] == gone["__th"]), "left").drop(gone["__th"])
     pieces = let(
         F.split("__text", "\n", -1),
         lambda a: F.when(F.col("__drop").isNull(), F.struct(F.size(a).alias("n"), F.col("__text").alias("t"))).otherwise(

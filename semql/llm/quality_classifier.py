@@ -98,7 +98,8 @@ def score(docs: DataFrame, model: additive_model.Model, text_col: str = "text")
     """``docs`` without ``text_col``, with ``score``, the probability of class 1.
 
     Null texts are empty ones, which score as the model's tables say for zeros. Rows repeat as they do
-    in the input; an input named ``score`` is replaced.
+    in the input, equal texts with equal scores; an empty table gives an empty table; texts of any length are read
+    whole. An input named ``score`` is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return _mapped(docs, text_col, _SCORE, "double", lambda rows: sent.value.score(np.asarray(rows, float)))

@@ -183,6 +183,36 @@ def dates(spark, d):
     return table(spark, d, "orders").groupBy(month).agg(F.count("*").alias("n"), F.max(F.datediff("o_orderdate", F.lit("1992-01-01").cast("date"))).cast("long").alias("last_day"))
 
 
+@query(
+    "date_functions",
+    """SELECT o_orderkey, julian(o_orderdate) - 0.5 AS julian_day, CAST(epoch(o_orderdate) AS BIGINT) AS seconds, strftime(o_orderdate, '%d/%m/%Y %H:%M:%S day %j') AS shown, CAST(dayofweek(o_orderdate) AS VARCHAR) AS weekday,
+       strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH - INTERVAL 1 DAY, '%Y-%m-%d') AS month_end, strftime(date_trunc('year', o_orderdate) - INTERVAL 2 YEAR, '%Y-%m-%d') AS back,
+       strftime(o_orderdate + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M') AS later FROM orders""",
+)
+def date_functions(spark, d):
+    ts, show = F.col("o_orderdate").cast("timestamp"), sqlite.strftime
+    return table(spark, d, "orders").select(
+        "o_orderkey", sqlite.julianday(ts).alias("julian_day"), sqlite.unixepoch(ts).alias("seconds"), show("%d/%m/%Y %H:%M:%S day %j", ts).alias("shown"), show("%w", ts).alias("weekday"),
+        show("%F", sqlite.modified(ts, "start of month", "+1 month", "-1 day")).alias("month_end"), show("%F", sqlite.modified(ts, "start of year", "-2 years")).alias("back"),
+        show("%F %R", sqlite.modified(ts, "+36 hours")).alias("later"),
+    )
+
+
+@query(
+    "json_functions",
+    """SELECT event_type, key, value_type, count(*) AS n, sum(CAST(value AS BIGINT)) AS total, count(*) FILTER (WHERE valid) AS n_valid
+       FROM (SELECT event_type, key, json_extract_string(props, '$.' || key) AS value, json_valid(props) AS valid,
+                    CASE json_type(props, '$.k') WHEN 'VARCHAR' THEN 'text' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' ELSE lower(json_type(props, '$.k')) END AS value_type
+             FROM (SELECT event_type, props, unnest(json_keys(props)) AS key FROM events)) GROUP BY event_type, key, value_type""",
+)
+def json_functions(spark, d):
+    """The members of all objects, each a row, with the type of their values."""
+    props = F.col("props")
+    members = table(spark, d, "events").select("event_type", sqlite.json_type(props, "$.k").alias("value_type"), sqlite.json_valid(props).alias("valid"), F.explode(sqlite.json_entries(props)).alias("m"))
+    grouped = members.groupBy("event_type", F.col("m.key").alias("key"), "value_type")
+    return grouped.agg(F.count("*").alias("n"), F.sum(F.col("m.value").cast("long")).alias("total"), F.count_if("valid").alias("n_valid"))
+
+
 @query("null_order", "SELECT o_orderkey, status FROM (SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status FROM orders) ORDER BY status NULLS FIRST, o_orderkey LIMIT 40")
 def null_order(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("status"))

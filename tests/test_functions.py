@@ -137,3 +137,37 @@ def test_onnx_embedder(spark, tmp_path):
             assert np.allclose(got, mean / np.linalg.norm(mean), atol=1e-5)
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", embedders.embed_column(F.col("t"), e).alias("v"))
     assert [r.v is None for r in rows.orderBy("i").collect()] == [not (t or "").strip() for t in texts]
+
+
+STAMPS = ["2024-02-29 13:14:15", "1999-12-31 23:59:59", "1970-01-01 00:00:00", "2023-01-31 06:00:00", None]
+MODIFIERS = [(), ("+1 day",), ("-36 hours",), ("+90 seconds",), ("start of month", "+1 month", "-1 day"), ("+1 month",), ("-1 year",), ("start of year",), ("start of day",), ("weekday 0",), ("weekday 3", "+10 minutes")]
+
+
+def test_dates_as_sqlite_has_them(spark):
+    con = sqlite3.connect(":memory:")
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(STAMPS)], "i int, s string").withColumn("t", F.col("s").cast("timestamp")).orderBy("i")
+    pattern = "%Y/%m/%d %H-%M-%S %j %w %s 100%%"
+    for mods in MODIFIERS:
+        t = sqlite.modified(F.col("t"), *mods)
+        got = [tuple(r) for r in rows.select(sqlite.strftime(pattern, t), sqlite.strftime("%F %T", t), sqlite.unixepoch(t), F.round(sqlite.julianday(t), 6)).collect()]
+        args = "?1" + "".join(f", '{m}'" for m in mods)
+        want = [con.execute(f"SELECT strftime('{pattern}', {args}), datetime({args}), CAST(strftime('%s', {args}) AS INTEGER), round(julianday({args}), 6)", [s]).fetchone() for s in STAMPS]
+        assert got == want, mods
+    for bad in (lambda: sqlite.strftime("%Q", F.col("t")), lambda: sqlite.modified(F.col("t"), "next week")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_json(spark):
+    texts = ['{"a": 1, "b": "x", "c": [1, 2], "d": null, "e": {"f": 1.5}, "g": true}', '[1, "two", null]', "{}", "nothing", None]
+    paths = ("$", "$.a", "$.b", "$.c", "$.d", "$.e", "$.e.f", "$.g", "$.none")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    con, t = sqlite3.connect(":memory:"), F.col("t")
+    got = rows.select(sqlite.json_valid(t), *[sqlite.json_type(t, p) for p in paths]).collect()
+    for text, r in zip(texts, got, strict=True):
+        valid = con.execute("SELECT json_valid(?)", [text]).fetchone()[0]
+        kinds = con.execute("SELECT " + ", ".join(f"json_type(?1, '{p}')" for p in paths), [text]).fetchone() if valid else [None] * 9
+        assert r[0] == (None if text is None else bool(valid)) and list(r[1:]) == list(kinds), text
+    members = rows.select("i", F.explode(sqlite.json_entries(t)).alias("m")).select("i", "m.key", "m.value").collect()
+    assert [(r.key, r.value) for r in members] == [("a", "1"), ("b", "x"), ("c", "[1,2]"), ("d", None), ("e", '{"f":1.5}'), ("g", "true")]
+    assert rows.select(sqlite.json_elements(t).alias("e")).collect()[1].e == ["1", "two", None]

@@ -1,3 +1,4 @@
+import hashlib
 import re
 import textwrap
 
@@ -122,3 +123,18 @@ def test_corpus(spark):
     got = {r.doc_id: r.families for r in ls.query(spark, DATA).collect()}
     want = {i: ",".join(sorted(f for f, n in notices.items() if re.search(n, t))) for i, t in texts.items()}
     assert got == want and sum(map(bool, want.values())) > 10
+
+
+def test_query_columns(spark):
+    """Paragraphs by hand, and digests from the spans that the same model finds text by text."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    model = ls.train(ls.ordinary_paragraphs(spark.read.parquet(f"{DATA}/documents.parquet")))
+    for r in ls.query(spark, DATA).collect():
+        found, n = [], 0
+        for block in re.split(r"((?:^|\n)(?:[\W_]*(?:\n|$))+)", texts[r.doc_id]):
+            n += bool(ls.words_of(block))
+        for spans, lines in ls.paragraphs(texts[r.doc_id]):
+            found += [(f, spans[i][0], spans[j - 1][1]) for i, j, f, *_ in ls.notices(model, lines)]
+        assert (r.n_paragraphs, r.n_licence) == (n, len(found)), r.doc_id
+        assert r.spans_sha256 == hashlib.sha256(",".join(f"{f}:{a}:{b}" for f, a, b in found).encode()).hexdigest()
+        assert r.families == ",".join(sorted({f for f, *_ in found}))

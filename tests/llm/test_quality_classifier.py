@@ -1,6 +1,9 @@
+import zlib
+
 import numpy as np
 import pytest
 from fixtures import ROWS, clashing, docs, empty
+from pyspark.sql import functions as F
 
 from semql.llm import additive_model, quality_classifier as qc
 
@@ -39,6 +42,24 @@ def test_held_out_accuracy(spark):
     assert found["score"].between(0, 1).all() and len(found) == spark.read.parquet(f"{DATA}/documents.parquet").count()
 
 
+def test_query_scores_by_hand(spark):
+    """Every score of the query is the sum of its text's table entries, and every row has its part and class."""
+    small = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    part = {i: zlib.crc32(str(i).encode()) % 4 for i in rows}
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    model = qc.train(spark.read.parquet(f"{small}/documents.parquet"), labels.where(F.col("doc_id").isin([i for i in part if part[i] != 2])))
+    got = qc.query(spark, small).collect()
+    assert sorted(r.doc_id for r in got) == sorted(rows)
+    for r in got:
+        x = qc.features(rows[r.doc_id].encode())
+        total = model.intercept + sum(values[sum(v >= c for c in cuts)] for v, cuts, values in zip(x, model.cuts, model.tables, strict=True))
+        for (i, j), values in zip(model.pairs, model.pair_tables, strict=True):
+            total += values[sum(x[i] >= c for c in model.pair_cuts[i]), sum(x[j] >= c for c in model.pair_cuts[j])]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+        assert (r.held_out, r.predicted) == (part[r.doc_id] == 2, int(r.score >= 0.7))
+
+
 def test_edges(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (9, 1), (9, 1), (None, 1), (3, None), (77, 0)], "doc_id long, quality int")
     model = qc.train(docs(spark), labels)

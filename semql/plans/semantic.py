@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,7 +13,7 @@ from semql.functions.embedders import HashingEmbedder, embed_column
 from semql.functions.sqlite import compare, like, nocase, rtrimmed
 from semql.operators import ann, neighbours
 from semql.operators.scan import Branch, Match, VectorTable
-from semql.shared import cut, shared_path
+from semql.shared import cut, is_there, shared_path
 from semql.sources.store import Database
 from semql.sources.workspace import Workspace, register_functions, register_search
 from semql.streaming.ingest import ingest
@@ -27,14 +29,14 @@ def vecs(spark: SparkSession, d: str, threshold: float = 0.1) -> VectorTable:
     return VectorTable(table(spark, d, "embeddings"), {"embedding": "embedding"}, rowid="vec_id", threshold=threshold)
 
 
-#: Documents whose texts have been embedded, by application and folder.
+#: Where documents with the vectors of their texts have been written, by application and folder.
 _EMBEDDED: dict[tuple[str, str], DataFrame] = {}
 
 
 def embedded(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the vectors of their texts, which are made when they are written, once an application."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in _EMBEDDED:
+    if key not in _EMBEDDED or not is_there(_EMBEDDED[key]):
         rows = table(spark, d, "documents")
         _EMBEDDED[key] = cut(rows.withColumn("_emb_text", embed_column(F.col("text"), HashingEmbedder())), "documents")
     return _EMBEDDED[key]
@@ -457,6 +459,21 @@ def _sql_search(spark: SparkSession, d: str, view: str) -> None:
 _ONE = "(SELECT text FROM documents WHERE doc_id = 1)"
 
 
+@query(
+    "match_language",
+    f"""WITH {_T}, r AS (SELECT score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM t),
+        q AS (SELECT * FROM (VALUES ('bare', 256), ('quoted, exact', 2147483647), ('blanks, 5 candidates', 5), ('quoted, more than there are', 2147483647), ('empty', 0)) v(kind, cap))
+        SELECT kind, count(score) AS n, round(min(score), 4) AS least FROM q LEFT JOIN r ON place <= cap AND score >= 0.5 GROUP BY kind""",
+)
+def match_language(spark, d):
+    """Ways to say how many rows a search looks at, each over all texts."""
+    source, text = docs(spark, d), text_of(spark, d)
+    bare = text[1:-1].replace("/", " ").replace("\n", " ").strip()
+    ways = {"bare": bare, "quoted, exact": text + "/exact", "blanks, 5 candidates": f"  {bare} /hnsw:+5 ", "quoted, more than there are": text + " /hnsw:3000000000", "empty": ' "" /exact'}
+    parts = [source.scan(Match("text", way)).agg(F.lit(kind).alias("kind"), F.count("text_score").alias("n"), F.round(F.min("text_score"), 4).alias("least")) for kind, way in ways.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @query("match_in_sql", f"WITH {_T} SELECT doc_id AS rowid, lang, round(score, 4) AS score FROM (SELECT * FROM t ORDER BY score DESC, doc_id LIMIT 256) JOIN documents USING (doc_id) WHERE score >= 0.5")
 def match_in_sql(spark, d):
     _sql_search(spark, d, "semql_docs")

@@ -30,10 +30,22 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _folders(table: DataFrame) -> list:
+    """The folders of a written table, with their file systems."""
+    spark, found = table.sparkSession, []
+    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.append((p.getFileSystem(spark._jsc.hadoopConfiguration()), p))
+    return found
+
+
+def is_there(table: DataFrame) -> bool:
+    """Whether a table that ``cut`` gave hasn't been removed since."""
+    return all(fs.exists(p) for fs, p in _folders(table))
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove tables that ``cut`` gave; nothing may read them, or what is made of them and not written yet, afterwards."""
-    for t in tables:
-        spark = t.sparkSession
-        for path in {f.rpartition("/")[0] for f in t.inputFiles()}:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for table in tables:
+        for fs, p in _folders(table):
+            fs.delete(p, True)

@@ -16,6 +16,7 @@ passages that many texts hold out of the keys.
 
 Pairs of searches 2 and 3 must pass a sketch first, the parities of the numbers of shingles in 256 hash classes: a
 shingle that only one of two sets has flips one bit, so sets differ in no fewer shingles than their sketches in bits.
+Before the shingles themselves are joined to all pairs, longer sketches are, of four bits a shingle and more.
 """
 
 from __future__ import annotations
@@ -82,24 +83,27 @@ def class_counts(found: DataFrame) -> np.ndarray:
     return counts
 
 
+def parities(found: np.ndarray, bits: int) -> np.ndarray:
+    """The parities of a set's numbers of shingles by class of hashes, ``bits`` of them in 64-bit integers."""
+    return np.packbits((np.bincount((found >> 32) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """The parities of each set's numbers of shingles by class of hashes, as ``_WIDE`` integers."""
-    bits = 64 * _WIDE
-    at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]) * bits + ((np.concatenate(sets) >> 32) & (bits - 1))
-    odd = (np.bincount(at, minlength=len(sets) * bits) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64).reshape(len(sets), _WIDE)
+    """``_WIDE`` integers for each set."""
+    return np.stack([parities(s, 64 * _WIDE) for s in sets])
 
 
 def shingle_sets(texts: DataFrame, words_each: int) -> DataFrame:
-    """``sid`` and ``shingles`` of each row of ``texts(text)``."""
+    """``sid``, ``shingles`` and their longer sketch ``wide``, of four to eight bits a shingle, of each row of ``texts(text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda lists: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate(lists)))
         for batch in text_slices(batches):
             sets, sids = _sets(_hashes(batch.column("text"), words_each))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([pa.array(sids), lists], names=["sid", "shingles"])
+            wide = [parities(s, 1 << max(6, (4 * len(s) - 1).bit_length())) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(sids), of(sets), of(wide), pa.array([len(s) for s in sets], pa.int64())], names=["sid", "shingles", "wide", "n"])
 
-    return texts.mapInArrow(run, "sid long, shingles array<long>")
+    return texts.mapInArrow(run, "sid long, shingles array<long>, wide array<long>, n long")
 
 
 def prefixes(texts: DataFrame, words_each: int, counts: np.ndarray, share: Fraction) -> DataFrame:
@@ -151,6 +155,19 @@ def _possible(share: Fraction) -> Column:
     return _similar(F.least(n - F.col("place"), n2 - F.col("place2")), n, n2, share) & near
 
 
+def _folded(wide: Column, size: Column) -> Column:
+    """A sketch of twice as many integers as ``size`` folded to that many: classes of a hash's lower bits are sums of those of more bits."""
+    # Bits are packed from the highest down, so integer i of the shorter one stands for classes that lie in i and in size + i of the longer.
+    return F.when(F.size(wide) <= size, wide).otherwise(F.zip_with(F.slice(wide, 1, size), F.slice(wide, size + 1, size), lambda a, b: a.bitwiseXOR(b)))
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """In how many bits two sketches differ; sizes more than twice apart make it nothing, and the sets are compared."""
+    size = F.least(F.size(x), F.size(y))
+    bits = F.zip_with(_folded(x, size), _folded(y, size), lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("long"))
+    return F.when(F.greatest(F.size(x), F.size(y)) <= 2 * size, F.aggregate(bits, F.lit(0).cast("long"), lambda total, n: total + n)).otherwise(F.lit(0).cast("long"))
+
+
 def _links(pairs: DataFrame, docs: DataFrame, least: DataFrame, id_col: str, text_col: str, words_each: int, share: Fraction) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets are similar enough; sets are made anew for these alone."""
     pairs = cut(pairs.distinct(), "pairs")
@@ -158,10 +175,16 @@ def _links(pairs: DataFrame, docs: DataFrame, least: DataFrame, id_col: str, tex
     named = cut(least.join(sids, "sid", "left_semi").select("least.id", "least.th"), "named")
     texts = only(docs, named, id_col, text_col).select(F.col(text_col).alias("text"))
     sets = cut(shingle_sets(texts, words_each).dropDuplicates(["sid"]), "sets")
-    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
+
+    def joined(pairs: DataFrame, column: str) -> DataFrame:
+        one = lambda name, value, size: sets.select(F.col("sid").alias(name), F.col(column).alias(value), F.col("n").alias(size))
+        return pairs.join(one("a", "x", "nx"), "a").join(one("b", "y", "ny"), "b")
+
+    bound = (share.denominator - share.numerator) * (F.col("nx") + F.col("ny"))
+    near = cut(joined(pairs, "wide").where((share.numerator + share.denominator) * _apart(F.col("x"), F.col("y")) <= bound).select("a", "b"), "near")
     common = F.size(F.array_intersect("x", "y"))
-    found = cut(both.where(_similar(common, F.size("x"), F.size("y"), share)).select("a", "b"), "similar")
-    drop(pairs, named, sets)
+    found = cut(joined(near, "shingles").where(_similar(common, F.col("nx"), F.col("ny"), share)).select("a", "b"), "similar")
+    drop(pairs, named, sets, near)
     return found
 
 

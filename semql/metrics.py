@@ -37,11 +37,14 @@ class Metrics:
         if observation is not None:
             self._open = [*self._open, (observation, time.perf_counter())][-LOG_SIZE:]
 
-    def settle(self) -> None:
-        """Take in the searches that have run; others are waited for."""
+    def settle(self, ran: bool = False) -> None:
+        """Take in the searches that have run. Others stay open; with ``ran`` all have, and what is under way is waited for.
+
+        Spark hands counts on some time after a job has ended.
+        """
         left = []
         for observation, began in self._open:
-            if observation._jo is None or not observation._jo.future().isCompleted():
+            if observation._jo is None or not (ran or observation._jo.future().isCompleted()):
                 left.append((observation, began))
                 continue
             found = observation.get

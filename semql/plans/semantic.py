@@ -529,6 +529,7 @@ def search_counters(spark, d):
     for name, match, where in [("cap", {"candidates": 20}, None), ("exact", {"mode": "exact"}, None), ("filter", {}, F.col("label") == 3)]:
         source = vecs(spark, d).at(counted=True)
         source.scan(Match("embedding", vec(spark, d), **match), where=where).write.format("noop").mode("overwrite").save()
+        source.metrics.settle(ran=True)
         counts = source.metrics.snapshot()
         found.append((name, counts["candidates"], counts["rows_matched"]))
     return spark.createDataFrame(found, "search string, candidates long, rows_matched long")

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,9 +29,9 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.where(norms > 1.1920929e-07, rows / np.maximum(norms, 1e-30), rows).astype(np.float32)
 
 
-#: Twice the bucket of each token met so far, plus one for a negative sign, by dimension.
+#: Twice the bucket of tokens met so far, about ``_KEEP`` at most, plus one for a negative sign, by dimension.
 _CODES: dict[int, dict[bytes, int]] = {}
-_KEEP = 500_000
+_KEEP = 100_000
 
 
 def _code(token: bytes, dim: int) -> int:
@@ -47,6 +47,10 @@ class HashingEmbedder:
     model_id: str = "hashing-256"
 
     def embed(self, texts: list[str]) -> list[np.ndarray | None]:
+        return [None if c is None else _unit(c) for c in self.counts(texts)]
+
+    def counts(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Whole numbers, which vectors are before they are brought to length one; None for a text that has none."""
         codes, found = _CODES.setdefault(self.dim, {}), []
         for text in texts:
             if text is None or not text.strip():
@@ -55,12 +59,13 @@ class HashingEmbedder:
             tokens = _TOKENS(text.encode().lower())  # of bytes: A-Z only
             row = list(map(codes.get, tokens))
             if None in row:
-                if len(codes) > _KEEP:
-                    codes.clear()
+                if len(codes) > _KEEP:  # those met first are the common ones
+                    for t in [*itertools.islice(codes, _KEEP // 2, None)]:
+                        del codes[t]
                 codes.update([(t, _code(t, self.dim)) for t in set(tokens) if t not in codes])
                 row = list(map(codes.__getitem__, tokens))
             counts = np.bincount(np.asarray(row, np.int64), minlength=2 * self.dim).reshape(-1, 2)
-            found.append(_unit((counts[:, 0] - counts[:, 1]).astype(float)))
+            found.append((counts[:, 0] - counts[:, 1]).astype(float))
         return found
 
 
@@ -170,13 +175,54 @@ def pooled(out: np.ndarray, dim: int) -> np.ndarray:
     raise ValueError(f"semql: unexpected model output of shape {out.shape} for dimension {dim}")
 
 
+#: Texts that a worker holds as Python objects at a time.
+SLICE = 256
+
+
+def _slices(texts: pa.Array) -> Iterator[list[str | None]]:
+    for at in range(0, len(texts), SLICE):
+        yield texts.slice(at, SLICE).to_pylist()
+
+
+def _lists(vectors: list[np.ndarray | None]) -> pa.Array:
+    """Vectors as one array of lists."""
+    known = np.asarray([v is not None for v in vectors], bool)
+    flat = np.concatenate([v for v in vectors if v is not None]).astype(np.float32) if known.any() else np.zeros(0, np.float32)
+    ends = np.concatenate([[0], np.cumsum([0 if v is None else len(v) for v in vectors])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~known, False)), pa.array(flat))
+
+
 def embed_udf(embedder: Embedder):
-    """Vectors of texts as a function of a column; null for null, empty and blank texts. One Arrow batch at a time."""
+    """Vectors of texts as a function of a column; null for null, empty and blank texts. A few texts at a time."""
+
+    @F.arrow_udf("array<float>")
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [_lists(embedder.embed(part)) for part in _slices(texts)]
+            yield pa.concat_arrays(parts) if parts else _lists([])
 
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    return vectors
+
+
+def scaled_udf(embedder: Embedder):
+    """Vectors as of ``embed_udf``, each with the length that its counts had: ``vector``, ``length``.
+
+    A vector times its length, rounded, gives the counts back, so that scores can be exact. No length from embedders without counts.
+    """
+
+    def scaled(part: list[str | None]) -> pa.Array:
+        if not hasattr(embedder, "counts"):
+            vectors = embedder.embed(part)
+            return pa.StructArray.from_arrays([_lists(vectors), pa.nulls(len(part), pa.float64())], ["vector", "length"])
+        counts = embedder.counts(part)
+        lengths = [None if c is None else float(np.linalg.norm(c)) for c in counts]
+        return pa.StructArray.from_arrays([_lists([None if c is None else _unit(c) for c in counts]), pa.array(lengths, pa.float64())], ["vector", "length"])
+
+    @F.arrow_udf("struct<vector: array<float>, length: double>")
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(embedder.embed(texts.tolist()), index=texts.index, dtype=object)
+            parts = [scaled(part) for part in _slices(texts)]
+            yield pa.concat_arrays(parts) if parts else scaled([])
 
     return vectors
 
@@ -185,6 +231,10 @@ def embed_column(text: Column, embedder: Embedder) -> Column:
     return embed_udf(embedder)(text.cast("string"))
 
 
+def scaled_column(text: Column, embedder: Embedder) -> Column:
+    return scaled_udf(embedder)(text.cast("string"))
+
+
 def embed_one(text: str | None, embedder: Embedder, metrics=None) -> list[float] | None:
     """A query's vector, made on the driver."""
     began = time.perf_counter()

@@ -21,6 +21,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
+def exact_dot(a: Column, length: Column, b: Column, b_length: Column) -> Column:
+    """As ``dot``, of vectors at length one that were whole numbers of these lengths: their exact sum over both lengths.
+
+    Vectors of no length score zero; where a length is null, this is ``dot``.
+    """
+    whole = F.zip_with(a, b, lambda x, y: F.coalesce(F.rint(x.cast("double") * length) * F.rint(y.cast("double") * b_length), F.lit(0.0)))
+    total = F.aggregate(whole, F.lit(0.0), lambda total, x: total + x)
+    known = length.isNotNull() & b_length.isNotNull()
+    return F.when(~known, dot(a, b)).when((length > 0) & (b_length > 0), total / length / b_length).otherwise(F.when(a.isNotNull() & b.isNotNull(), 0.0))
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,6 +56,8 @@ class VectorTable:
     metrics: Metrics = field(default_factory=Metrics)
     #: Whether results count their rows for ``metrics`` when they run.
     counted: bool = False
+    #: The column with the lengths of a vector's counts, for columns that have one: scores of texts are exact then.
+    lengths: dict[str, str] = field(default_factory=dict)
 
     def at(self, **changes) -> VectorTable:
         return replace(self, **changes)
@@ -62,7 +65,7 @@ class VectorTable:
     @property
     def columns(self) -> list[str]:
         """What ``*`` means: neither row id, vectors nor scores."""
-        hidden = {self.rowid, *(e for c, e in self.embeddings.items() if e != c)}
+        hidden = {self.rowid, *(e for c, e in self.embeddings.items() if e != c), *self.lengths.values()}
         return [c for c in self.df.columns if c not in hidden or c in self.embeddings]
 
     def score_name(self, column: str) -> str:
@@ -93,7 +96,7 @@ class VectorTable:
             vector, parsed = self._vector(match)
             if vector is None:
                 return self._scores(rows, {}).where(F.lit(False))
-            scored[match.column] = vectors.dot(F.col(f"`{self.embeddings[match.column]}`"), vectors.literal(vector))
+            scored[match.column] = self._score(match, parsed, vector)
         rows = self._scores(rows, scored)
         names = [self.score_name(c) for c in scored]
         if len(matches) == 1 and where is None and join is None and parsed.mode == APPROXIMATE:
@@ -109,6 +112,13 @@ class VectorTable:
             rows = rows.where(F.col(f"`{name}`") >= self.threshold)
         return rows
 
+    def _score(self, match: Match, parsed: MatchQuery, vector: list[float]) -> Column:
+        own, query = F.col(f"`{self.embeddings[match.column]}`"), vectors.literal(vector)
+        if match.column not in self.lengths or not isinstance(match.query, str) or not hasattr(self.embedder, "counts"):
+            return vectors.dot(own, query)
+        length = float(np.linalg.norm(self.embedder.counts([parsed.query])[0]))
+        return vectors.exact_dot(own, F.col(f"`{self.lengths[match.column]}`"), query, F.lit(length))
+
     def _scores(self, rows: DataFrame, scored: dict[str, Column]) -> DataFrame:
         return rows.withColumns({self.score_name(c): scored.get(c, F.lit(None).cast("double")) for c in self.embeddings})
 

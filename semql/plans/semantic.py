@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from semql.functions import vectors
-from semql.functions.embedders import HashingEmbedder, embed_column
+from semql.functions.embedders import HashingEmbedder, embed_column, scaled_column
 from semql.functions.sqlite import compare, like, nocase, rtrimmed
 from semql.operators import ann, neighbours
 from semql.operators.scan import Branch, Match, VectorTable
@@ -38,12 +38,13 @@ def embedded(spark: SparkSession, d: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, d)
     if key not in _EMBEDDED or not is_there(_EMBEDDED[key]):
         rows = table(spark, d, "documents")
-        _EMBEDDED[key] = cut(rows.withColumn("_emb_text", embed_column(F.col("text"), HashingEmbedder())), "documents")
+        made = rows.withColumn("__made", scaled_column(F.col("text"), HashingEmbedder()))
+        _EMBEDDED[key] = cut(made.select(*rows.columns, F.col("__made.vector").alias("_emb_text"), F.col("__made.length").alias("_len_text")), "documents")
     return _EMBEDDED[key]
 
 
 def docs(spark: SparkSession, d: str, threshold: float = 0.5) -> VectorTable:
-    return VectorTable(embedded(spark, d), {"text": "_emb_text"}, HashingEmbedder(), rowid="doc_id", threshold=threshold)
+    return VectorTable(embedded(spark, d), {"text": "_emb_text"}, HashingEmbedder(), rowid="doc_id", threshold=threshold, lengths={"text": "_len_text"})
 
 
 def both(spark: SparkSession, d: str) -> VectorTable:
@@ -63,12 +64,19 @@ def text_of(spark: SparkSession, d: str, i: int = 1) -> str:
 
 
 
+def rounded(name: str, digits: int):
+    """Rounded as in DuckDB: what is half a step after the multiplication goes away from zero."""
+    scaled = F.abs(F.col(name)) * 10.0**digits
+    whole = F.floor(scaled).cast("double")
+    return F.signum(name) * F.when(scaled - whole >= 0.5, whole + 1).otherwise(whole) / 10.0**digits
+
+
 def score():
-    return F.round("embedding_score", 6).alias("score")
+    return rounded("embedding_score", 6).alias("score")
 
 
 def text_score():
-    return F.round("text_score", 4).alias("score")
+    return rounded("text_score", 4).alias("score")
 
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semql import __version__
-from semql.functions.embedders import Embedder, embed_one, embed_udf
+from semql.functions.embedders import Embedder, embed_one, embed_udf, scaled_udf
 from semql.metrics import Metrics
 from semql.operators.matchdsl import APPROXIMATE, EXACT
 from semql.operators.scan import CAP, ROWID, THRESHOLD, Match, VectorTable
@@ -61,7 +61,14 @@ def register_functions(spark: SparkSession, embedder: Embedder) -> None:
     spark.sql("""
         CREATE OR REPLACE TEMPORARY FUNCTION semql_dot(a ARRAY<FLOAT>, b ARRAY<DOUBLE>) RETURNS DOUBLE
         RETURN aggregate(zip_with(a, b, (x, y) -> coalesce(double(x) * double(y), 0D)), 0D, (t, x) -> t + x)""")
+    # As ``vectors.exact_dot``; both sides have a vector and its length.
+    spark.sql("""
+        CREATE OR REPLACE TEMPORARY FUNCTION semql_exact_dot(a ARRAY<FLOAT>, n DOUBLE, b ARRAY<FLOAT>, m DOUBLE) RETURNS DOUBLE
+        RETURN CASE WHEN n IS NULL OR m IS NULL THEN aggregate(zip_with(a, b, (x, y) -> coalesce(double(x) * double(y), 0D)), 0D, (t, x) -> t + x)
+            WHEN n > 0 AND m > 0 THEN aggregate(zip_with(a, b, (x, y) -> coalesce(rint(double(x) * n) * rint(double(y) * m), 0D)), 0D, (t, x) -> t + x) / n / m
+            WHEN a IS NOT NULL AND b IS NOT NULL THEN 0D END""")
     spark.udf.register("semql_embed", embed_udf(embedder))
+    spark.udf.register("semql_scaled", scaled_udf(embedder))
 
 
 def register_search(spark: SparkSession, view: str, table: VectorTable, threshold: float = THRESHOLD, cap: int = CAP) -> None:
@@ -76,10 +83,11 @@ def register_search(spark: SparkSession, view: str, table: VectorTable, threshol
     returns = ", ".join([f"rowid {kinds[table.rowid]}", *(f"`{c}` {kinds[c]}" for c in table.columns)])
     for column, vector in table.embeddings.items():
         score = table.score_name(column)
+        length = f"`{table.lengths[column]}`" if column in table.lengths else "CAST(NULL AS DOUBLE)"
         for kind, extra in (("match", f"candidates INT DEFAULT {cap}, "), ("exact", "")):
             name = f"`{view}_{column}_{kind}`"
             # The text's vector is a table of one row, so it is made once.
-            scored = f"SELECT *, semql_dot(`{vector}`, __query) AS `{score}` FROM `{view}_data` JOIN (SELECT semql_embed({name}.query) AS __query) ON true"
+            scored = f"SELECT *, semql_exact_dot(`{vector}`, {length}, __query.vector, __query.length) AS `{score}` FROM `{view}_data` JOIN (SELECT semql_scaled({name}.query) AS __query) ON true"
             place = f"row_number() OVER (ORDER BY `{score}` DESC NULLS LAST, `{table.rowid}`) AS __place, " if extra else ""
             kept = f"__place <= {name}.candidates AND " if extra else ""
             spark.sql(f"""

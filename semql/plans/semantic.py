@@ -163,7 +163,7 @@ _BOTH = f"{_SCORED}, {_T}, j AS (SELECT d.doc_id, s.score AS v, coalesce(t.score
 @query("multi_match_and", f"WITH {_BOTH} SELECT doc_id, round(v, 6) AS v_score, round(w, 4) AS t_score FROM j WHERE v >= 0.05 AND w >= 0.05")
 def multi_match_and(spark, d):
     found = both(spark, d).scan(Match("embedding", vec(spark, d)), Match("text", text_of(spark, d)))
-    return found.select("doc_id", F.round("embedding_score", 6).alias("v_score"), F.round("text_score", 4).alias("t_score"))
+    return found.select("doc_id", rounded("embedding_score", 6).alias("v_score"), rounded("text_score", 4).alias("t_score"))
 
 
 @query(
@@ -175,7 +175,7 @@ def multi_match_and(spark, d):
 )
 def multi_match_or(spark, d):
     found = both(spark, d).any_of(Branch((Match("embedding", vec(spark, d)),)), Branch((Match("text", text_of(spark, d)),)))
-    return found.select("doc_id", F.round("embedding_score", 6).alias("v_score"), F.round("text_score", 4).alias("t_score"))
+    return found.select("doc_id", rounded("embedding_score", 6).alias("v_score"), rounded("text_score", 4).alias("t_score"))
 
 
 @query(

@@ -478,7 +478,7 @@ def match_language(spark, d):
     source, text = docs(spark, d), text_of(spark, d)
     bare = text[1:-1].replace("/", " ").replace("\n", " ").strip()
     ways = {"bare": bare, "quoted, exact": text + "/exact", "blanks, 5 candidates": f"  {bare} /hnsw:+5 ", "quoted, more than there are": text + " /hnsw:3000000000", "empty": ' "" /exact'}
-    parts = [source.scan(Match("text", way)).agg(F.lit(kind).alias("kind"), F.count("text_score").alias("n"), F.round(F.min("text_score"), 4).alias("least")) for kind, way in ways.items()]
+    parts = [source.scan(Match("text", way)).agg(F.lit(kind).alias("kind"), F.count("text_score").alias("n"), F.min("text_score").alias("least")).withColumn("least", rounded("least", 4)) for kind, way in ways.items()]
     return functools.reduce(DataFrame.unionByName, parts)
 
 

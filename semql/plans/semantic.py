@@ -261,9 +261,9 @@ def hybrid_join(spark, d):
 )
 def semantic_join(spark, d):
     embedder = HashingEmbedder()
-    items = table(spark, d, "benchmark").withColumn("v", embed_column(F.col("text"), embedder))
-    found = neighbours.similarity_join(embedded(spark, d), items, 0.6, "doc_id", "_emb_text", "item_id", "v", embedder.dim)
-    return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 3).alias("score"))
+    items = table(spark, d, "benchmark").withColumn("made", scaled_column(F.col("text"), embedder)).select("item_id", "made.*")
+    found = neighbours.similarity_join(embedded(spark, d), items, 0.6, "doc_id", "_emb_text", "item_id", "vector", embedder.dim, length_col="_len_text", query_length="length")
+    return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), rounded("score", 3).alias("score"))
 
 
 _PAIRS = """p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from semql.functions.embedders import HashingEmbedder, scaled_column
+from semql.operators import neighbours
 from semql.operators.scan import Match, VectorTable
 from semql.sources.workspace import register_functions, register_search
 
@@ -47,3 +48,10 @@ def test_scores_in_sql_are_exact(spark, rows):
     register_search(spark, "semql_exact_test", vector_table(rows, 0.5))
     found = spark.sql("SELECT rowid, t_score FROM semql_exact_test_t_exact(:q, -2)", args={"q": TEXTS[7]}).collect()
     assert {r.rowid: r.t_score for r in found} == {**{i: score(t, TEXTS[7]) for i, t in enumerate(TEXTS)}, 1001: 0.0}
+
+
+def test_joined_scores_are_exact(rows):
+    asked = rows.where("i % 10 = 0 AND i < 1000")
+    found = neighbours.similarity_join(rows, asked, 0.6, "i", "v", "i", "v", E.dim, length_col="n", query_length="n")
+    want = {(q, i): score(t, TEXTS[q]) for q in range(0, 300, 10) for i, t in enumerate(TEXTS)}
+    assert {(r.query_id, r.id): r.score for r in found.collect()} == {k: s for k, s in want.items() if s >= 0.6}

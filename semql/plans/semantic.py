@@ -278,7 +278,7 @@ def knn_exact(spark, d):
     rows = table(spark, d, "embeddings")
     asked = rows.where(F.col("vec_id") % 20 == 0)
     found = neighbours.nearest(rows, asked, 10, "vec_id", "embedding", "vec_id", "embedding", DIM)
-    return found.select("query_id", "id", F.round("score", 5).alias("score"), "rank")
+    return found.select("query_id", "id", rounded("score", 5).alias("score"), "rank")
 
 
 @query("ann_candidates")
@@ -287,7 +287,7 @@ def ann_candidates(spark, d):
     rows = table(spark, d, "embeddings")
     index = ann.fit(rows, "embedding", "vec_id")
     found = index.search(index.assign(rows, "embedding"), rows.where(F.col("vec_id") % 20 == 0), 10, "vec_id", "embedding", "vec_id", "embedding")
-    return found.select("query_id", "id", F.round("score", 5).alias("score"), "rank")
+    return found.select("query_id", "id", rounded("score", 5).alias("score"), "rank")
 
 
 @query("semi_match", f"WITH {_SCORED} SELECT l.doc_id, quality FROM labels l WHERE EXISTS (SELECT 1 FROM s WHERE s.vec_id = l.doc_id AND score >= 0.0)")

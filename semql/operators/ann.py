@@ -1,7 +1,7 @@
 """Approximate search with an inverted file: cells around centroids, exact scores within the cells looked at.
 
-Centroids are fitted on a bounded sample; every row is put into its cell. A search joins queries and rows
-on the cell, so it reads ``probes`` of ``cells`` shares of the table; written partitioned by cell, a lone query prunes
+Centroids are fitted on a bounded sample; every row is put into its cell. A search brings the rows of a cell together and
+scores them with the queries that look at it, so it scores ``probes`` of ``cells`` shares of the table; written partitioned by cell, a lone query prunes
 the others. How many cells are looked at is chosen so that the sample's own recall reaches a target.
 """
 
@@ -14,9 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from semql.functions import vectors
+from semql.operators import neighbours
 
 #: Rows that the centroids are fitted on, at most.
 MAX_SAMPLE = 20_000
@@ -53,12 +52,13 @@ class CellIndex:
 
     def search(self, indexed: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, query_id: str, query_vector: str) -> DataFrame:
         """``query_id, id, score, rank`` of the best ``k`` rows in the cells near each query."""
-        probes = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("__q"))
-        probes = probes.withColumn("cell", F.explode(self.cells_of(F.col("__q"), self.probes)))
-        near = indexed.select(F.col(id_col).alias("id"), F.col(vector_col).alias("__v"), "cell").join(probes, "cell")
-        scored = near.select("query_id", "id", vectors.dot(F.col("__v"), F.col("__q")).alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-        return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+        centroids, n = self.centroids, self.probes
+        blocks = neighbours.query_blocks(queries, query_id, query_vector)
+        looked_at = lambda q: np.argsort(-(q @ centroids.T), axis=1, kind="stable")[:, :n]
+        # Rows of a cell together, so that a product of matrices scores them; a number of parts keeps all cores busy.
+        parts = 2 * indexed.sparkSession.sparkContext.defaultParallelism
+        together = indexed.where(F.col("cell").isNotNull()).repartition(parts, "cell").sortWithinPartitions("cell")
+        return neighbours.ranked(neighbours.pairs(together, id_col, vector_col, blocks, centroids.shape[1], k=k, probes=looked_at), k)
 
 
 def fit(rows: DataFrame, vector_col: str, id_col: str, cells: int | None = None, target: float = 0.97, max_sample: int = MAX_SAMPLE, rounds: int = 12, seed: int = 11) -> CellIndex:
